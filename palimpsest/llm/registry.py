@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_cooccur"]
+MODULES = ["q_cooccur", "q_spans"]
 
 
 def _all(what: str) -> dict:
