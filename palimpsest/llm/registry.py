@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_cooccur", "q_spans", "q_leaks", "q_packing"]
+MODULES = ["q_cooccur", "q_spans", "q_leaks", "q_packing", "q_names"]
 
 
 def _all(what: str) -> dict:
