@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_cooccur", "q_softlink", "q_spans", "q_leaks", "q_packing", "q_names"]
+MODULES = ["q_cooccur", "q_softlink", "q_spans", "q_leaks", "q_packing", "q_names", "q_residue"]
 
 
 def _all(what: str) -> dict:
