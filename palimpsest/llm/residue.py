@@ -52,7 +52,7 @@ PHRASES = [
     r"lorem ipsum", r"(?:body text ){2}", r"^heading (?:one|two|three)\b", r"(?:sample|dummy|placeholder|filler) text\b", r"^(?:this is )?(?:a )?test (?:record|page|text|document|deposit|upload)\b", r"please ignore", r"\b(?:goes|sits) here\b", r"asdf|qwerty", r"quick brown fox",
 ]
 _PHRASE = re.compile("|".join(f"(?:{p})" for p in PHRASES))
-_NARRATES = re.compile(r"\b(?:was|were|had|took|which|often|such as|we|our|excluded|chosen|dropped|repeated|reported|asked|replaces|expands|interrupted|left)\b")
+_NARRATES = re.compile(r"\b(?:was|were|had|took|which|often|such as|excluded|chosen|dropped|repeated|reported|asked|replaces|expands|interrupted|left)\b")
 # fixed values: beginnings of the words of the usual Latin filler
 LATIN = set("amet aliq anim adip aute cill comm cons cons culp cupi dese dolo duis eius elit enim esse exce exer fugi inci ipsu irur labo lore magn mini moll nisi nost null offi pari prof quis repr sint sunt temp ulla veli veni volu".split())
 MAX_TRUSTED_WORDS = 16
