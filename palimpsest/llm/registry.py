@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_cooccur", "q_softlink", "q_spans", "q_leaks", "q_packing", "q_names", "q_residue", "q_subjects"]
+MODULES = ["q_cooccur", "q_softlink", "q_spans", "q_scans", "q_leaks", "q_packing", "q_names", "q_residue", "q_subjects"]
 
 
 def _all(what: str) -> dict:
