@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["palimpsest.operators.skew_queries"]
+MODULES = ["palimpsest.operators.skew_queries", "palimpsest.operators.text_queries"]
 FLAGSHIP = "p1_found"
 
 
