@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["palimpsest.operators.skew_queries", "palimpsest.operators.text_queries"]
-FLAGSHIP = "p1_found"
+MODULES = [f"palimpsest.operators.{m}_queries" for m in ("skew", "text", "overlap", "graph")]
+FLAGSHIP = "agg_pair_summary"
 
 
 def _all(what: str) -> dict:
