@@ -19,7 +19,7 @@ once; a row goes on into the row with the next ``idx``.  A record is cut into bl
 rows, each with a tail of following rows, so no record is ever held as a whole.  A tail of
 fewer words than needed (rows without any word) is detected and the block redone with a
 longer tail.  Null or empty text gives a row without words; an empty table gives no spans.
-Rows of one (record, idx) but different text keep the least text.
+Of rows of one (record, idx) with different text the one of least digest stays.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from palimpsest.plans.runtime import cut
@@ -36,21 +36,27 @@ SIZE, GRAM, BLOCK, TAIL = 20, 12, 256, 32
 _M1, _M2, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def word_rows(sentences: DataFrame) -> DataFrame:
-    """(doc, idx, w array<int>): 32-bit word hashes of each retained row, repeated rows once."""
+def _hashed(sentences: DataFrame) -> DataFrame:
+    """(doc, idx, t, w): distinct retained rows, a digest of the text and the 32-bit hashes of its words."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), 0)
     kept = sentences.where(F.col("doc_id").isNotNull() & F.col("idx").isNotNull() & (F.coalesce(F.size("excl"), F.lit(0)) <= 0))
-    return kept.groupBy(F.col("doc_id").alias("doc"), "idx").agg(F.min("text").alias("text")).select("doc", "idx", F.transform(words, lambda x: F.hash(x)).alias("w"))
+    rows = kept.select(F.col("doc_id").alias("doc"), "idx", "text").distinct()  # hash aggregate: copies of a row meet in the map task
+    return rows.select("doc", "idx", F.xxhash64("text").alias("t"), F.transform(words, lambda x: F.hash(x)).alias("w"))
+
+
+def word_rows(sentences: DataFrame) -> DataFrame:
+    """(doc, idx, w): one row per place."""
+    return _hashed(sentences).groupBy("doc", "idx").agg(F.min(F.struct("t", "w")).alias("m")).select("doc", "idx", "m.w")
 
 
 def _blocks(rows: DataFrame, tail: int) -> DataFrame:
     """Rows grouped by (doc, block) with the rows that follow as a tail."""
     b = F.floor(F.col("idx") / BLOCK).cast("int")
-    own = rows.select("doc", b.alias("block"), "idx", "w")
+    own = rows.select("doc", b.alias("block"), "idx", "t", "w")
     reach = -(-tail // BLOCK)
     ahead = rows.withColumn("back", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-    ahead = ahead.select("doc", (b - F.col("back")).alias("block"), "idx", "w").where((F.col("block") >= 0) & (F.col("idx") < (F.col("block") + 1) * BLOCK + tail))
-    return own.unionByName(ahead).groupBy("doc", "block").agg(F.collect_list(F.struct("idx", "w")).alias("rows"))
+    ahead = ahead.select("doc", (b - F.col("back")).alias("block"), "idx", "t", "w").where((F.col("block") >= 0) & (F.col("idx") < (F.col("block") + 1) * BLOCK + tail))
+    return own.unionByName(ahead).groupBy("doc", "block").agg(F.collect_list(F.struct("idx", "t", "w")).alias("rows"))
 
 
 def _digest(h: np.ndarray, n: int, m: np.uint64) -> np.ndarray:
@@ -63,57 +69,87 @@ def _digest(h: np.ndarray, n: int, m: np.uint64) -> np.ndarray:
     return out
 
 
-def _segments(rows, block: int, need: int, tail: int):
-    """Runs of adjoining rows: (word hashes, row of each word, place in the row, words that start in the block, short)."""
-    rows = sorted(({"idx": r["idx"], "w": r["w"]} for r in rows), key=lambda r: r["idx"])
-    end, run = (block + 1) * BLOCK, []
-
-    def close(run):
-        if run and run[0]["idx"] < end:
-            own = sum(len(r["w"]) for r in run if r["idx"] < end)
-            h = np.concatenate([np.asarray(r["w"], "int64") for r in run]).astype("uint64") if run else np.zeros(0, "uint64")
-            short = run[-1]["idx"] == end + tail - 1 and len(h) - own < need
-            yield h[: own + need], np.repeat([r["idx"] for r in run], [len(r["w"]) for r in run])[: own + need], np.concatenate([np.arange(len(r["w"])) for r in run])[: own + need], own, short
-
-    for r in rows:
-        if run and r["idx"] != run[-1]["idx"] + 1:
-            yield from close(run)
-            run = []
-        run.append(r)
-    yield from close(run)
+class _Batch:
+    """The rows of many blocks as flat arrays: words in order, with the run, row and block each belongs to.
 
+    A *run* is a stretch of adjoining rows of one block and its tail; windows do not leave it.
+    """
 
-def _winnow(h: np.ndarray, gram: int, size: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of the grams kept by winnowing, for windows that start before ``own``."""
-    if len(h) < size:
-        return np.zeros(0, "int64"), np.zeros(0, "uint64")
-    d = _digest(h, gram, _M1)
-    w = size - gram + 1
-    win = np.lib.stride_tricks.sliding_window_view(d, w)[:own]
-    at = np.unique(np.arange(len(win)) + (w - 1) - win[:, ::-1].argmin(axis=1))
-    return at, d[at]
+    def __init__(self, batch: pa.RecordBatch, tail: int):
+        rows = batch.column("rows")
+        if isinstance(rows, pa.ChunkedArray):
+            rows = rows.combine_chunks()
+        flat = rows.flatten()
+        per = np.diff(rows.offsets.to_numpy())
+        ordinal = np.repeat(np.arange(len(rows)), per)
+        idx, t, w = flat.field("idx").to_numpy(zero_copy_only=False), flat.field("t").to_numpy(zero_copy_only=False), flat.field("w")
+        at, words = w.offsets.to_numpy().astype("int64"), w.values.to_numpy(zero_copy_only=False)
+        order = np.lexsort((t, idx, ordinal))
+        keep = np.ones(len(order), bool)
+        keep[1:] = (ordinal[order][1:] != ordinal[order][:-1]) | (idx[order][1:] != idx[order][:-1])
+        order = order[keep]
+        ordinal, idx = ordinal[order], idx[order].astype("int64")
+        n, start = np.diff(at)[order], at[:-1][order]
+        self.block = batch.column("block").to_numpy(zero_copy_only=False).astype("int64")
+        end = (self.block[ordinal] + 1) * BLOCK
+        new = np.ones(len(order), bool)
+        new[1:] = (ordinal[1:] != ordinal[:-1]) | (idx[1:] != idx[:-1] + 1)
+        run = np.cumsum(new) - 1
+        total = int(n.sum())
+        within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        self.h = words[np.repeat(start, n) + within].astype("int64").view("uint64") if total else np.zeros(0, "uint64")
+        self.off, self.idx, self.run, self.ordinal = within, np.repeat(idx, n), np.repeat(run, n), np.repeat(ordinal, n)
+        self.own = np.repeat(idx < end, n)
+        # a run that ends with the tail although the tail has too few words
+        runs = int(run[-1]) + 1 if len(run) else 0
+        last = np.flatnonzero(np.append(new[1:], True)) if len(new) else np.zeros(0, "int64")
+        tail_words = np.bincount(run, weights=np.where(idx >= end, n, 0), minlength=runs)
+        begins = idx[np.flatnonzero(new)] < end[np.flatnonzero(new)]
+        short = (idx[last] == end[last] + tail - 1) & (tail_words < SIZE - 1) & begins
+        self.short = np.unique(ordinal[last][short])
+        self.bad = np.isin(self.ordinal, self.short)
+
+    def starts(self) -> np.ndarray:
+        """Words where a window of SIZE words begins that is not a tail's own matter."""
+        if len(self.h) < SIZE:
+            return np.zeros(0, "int64")
+        return np.flatnonzero((self.run[: -SIZE + 1] == self.run[SIZE - 1 :]) & self.own[: -SIZE + 1] & ~self.bad[: -SIZE + 1])
+
+    def winnowed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words and digests of the grams that winnowing keeps (the rightmost least of each window)."""
+        at = self.starts()
+        if not len(at):
+            return at, np.zeros(0, "uint64")
+        d = _digest(self.h, GRAM, _M1)
+        w = SIZE - GRAM + 1
+        best, value = at + w - 1, d[at + w - 1]
+        for k in range(w - 2, -1, -1):
+            less = d[at + k] < value
+            best, value = np.where(less, at + k, best), np.where(less, d[at + k], value)
+        best = np.unique(best)
+        return best, d[best]
 
 
 def _whole(rows: DataFrame, columns: str, fn, name: str, only: DataFrame | None = None) -> DataFrame:
-    """``fn(segment)`` -> dict of arrays, over all blocks (or those in ``only``), as (doc, block, columns).
+    """``fn(batch)`` -> (word places, dict of arrays), over all blocks (or those in ``only``), as (doc, block, columns).
 
     Blocks whose tail was too short go again with a longer one.
     """
     kinds = [c.split() for c in columns.split(", ")]
+    arrow = {"int": pa.int32(), "bigint": pa.int64()}
 
     def over(tail: int):
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                parts = []
-                for doc, block, rows in zip(pdf["doc"], pdf["block"], pdf["rows"]):
-                    for h, at, off, own, short in _segments(rows, int(block), SIZE - 1, tail):
-                        if short:
-                            part = {c: [0] for c, _ in kinds}
-                        elif (part := fn(h, at, off, own)) is None or not len(part[kinds[0][0]]):
-                            continue
-                        parts.append(pd.DataFrame({"doc": doc, "block": int(block), "short": short} | part))
-                if parts:
-                    yield pd.concat(parts, ignore_index=True)[["doc", "block", "short", *[c for c, _ in kinds]]]
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                b = _Batch(batch, tail)
+                at, cols = fn(b)
+                o = np.concatenate([b.ordinal[at], b.short]).astype("int64")
+                flags = np.concatenate([np.zeros(len(at), bool), np.ones(len(b.short), bool)])
+                data = [batch.column("doc").take(pa.array(o)), pa.array(b.block[o].astype("int32")), pa.array(flags)]
+                data += [pa.array(np.concatenate([cols[c], np.zeros(len(b.short), cols[c].dtype)]), type=arrow[k]) for c, k in kinds]
+                yield pa.RecordBatch.from_arrays(data, names=["doc", "block", "short", *[c for c, _ in kinds]])
 
         return each
 
@@ -122,7 +158,7 @@ def _whole(rows: DataFrame, columns: str, fn, name: str, only: DataFrame | None
         blocks = _blocks(rows, tail)
         if todo is not None:
             blocks = blocks.join(todo, ["doc", "block"], "left_semi")
-        got = cut(blocks.mapInPandas(over(tail), f"doc string, block int, short boolean, {columns}"), name)
+        got = cut(blocks.mapInArrow(over(tail), f"doc string, block int, short boolean, {columns}"), name)
         todo = got.where("short").select("doc", "block").distinct()
         some = not todo.isEmpty()
         part = (got.join(todo, ["doc", "block"], "left_anti") if some else got).drop("short")
@@ -143,23 +179,21 @@ def shared_windows(sentences: DataFrame) -> DataFrame:
     ``idx`` and ``off`` are the row and the word in it where the window starts, ``last_idx`` and
     ``last_off`` those of its last word.
     """
-    rows = word_rows(sentences)
+    rows = _hashed(sentences)
 
-    def anchors(h, at, off, own):
-        place, d = _winnow(h, GRAM, SIZE, own)
-        return {"d": d.view("int64"), "pos": place.astype("int64")}
+    def anchors(b: _Batch):
+        at, d = b.winnowed()
+        return at, {"d": d.view("int64")}
 
-    marks = _whole(rows, "d bigint, pos bigint", anchors, "anchors")
+    marks = _whole(rows, "d bigint", anchors, "anchors")
     common = _in_many(marks, ["d"])
     near = cut(marks.join(common, "d", "left_semi").select("doc", "block").distinct(), "near")
 
-    def windows(h, at, off, own):
-        if len(h) < SIZE:
-            return None
-        d1, d2 = _digest(h, SIZE, _M1)[:own], _digest(h, SIZE, _M2)[:own]
-        n = len(d1)
-        e = slice(SIZE - 1, SIZE - 1 + n)
-        return {"idx": at[:n], "off": off[:n], "last_idx": at[e], "last_off": off[e], "d1": d1.view("int64"), "d2": d2.view("int64")}
+    def windows(b: _Batch):
+        at = b.starts()
+        e = at + SIZE - 1
+        d1, d2 = (_digest(b.h, SIZE, m)[at] if len(at) else np.zeros(0, "uint64") for m in (_M1, _M2))
+        return at, {"idx": b.idx[at], "off": b.off[at], "last_idx": b.idx[e], "last_off": b.off[e], "d1": d1.view("int64"), "d2": d2.view("int64")}
 
     every = _whole(rows, "idx int, off int, last_idx int, last_off int, d1 bigint, d2 bigint", windows, "windows", near)
     return every.join(_in_many(every, ["d1", "d2"]), ["d1", "d2"], "left_semi")
