@@ -141,6 +141,6 @@ def pack(items: DataFrame, full: float = FULL, fan_in: int = FAN_IN, items_per_t
         if out is None:
             up = got.select("item", "bin")
         else:
-            up = got.join(out.withColumnRenamed("item", "bin").withColumnRenamed("bin", "root"), "bin", "left").select("item", F.coalesce("root", "bin").alias("bin"))
+            up = got.join(out.withColumnRenamed("bin", "root").withColumnRenamed("item", "bin"), "bin", "left").select("item", F.coalesce("root", "bin").alias("bin"))
         out = up
     return items.join(out, "item")
