@@ -54,8 +54,7 @@ def grams(stream: DataFrame, n: int = 8, digest: str = "xxhash64") -> DataFrame:
     cell = F.floor(F.col("pos") / 4096)
     two = stream.withColumn("cell", F.explode(F.when((F.col("pos") % 4096 < n - 1) & (F.col("pos") >= 4096), F.array(cell, cell - 1)).otherwise(F.array(cell))))
     w = Window.partitionBy("doc_id", "cell").orderBy("pos")
-    ahead = F.collect_list("tok").over(w.rowsBetween(0, n - 1))
-    text = F.array_join(ahead, " ")
+    text = F.concat_ws(" ", "tok", *[F.lead("tok", i).over(w) for i in range(1, n)])
     two = two.withColumn("last", F.lead("pos", n - 1).over(w)).withColumn("g", F.md5(text) if digest == "md5" else F.xxhash64(text))
     return two.where((F.col("last") == F.col("pos") + n - 1) & (cell == F.col("cell"))).select("doc_id", "pos", "g")
 

@@ -46,5 +46,14 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Input of Python work spread over all cores: a small file is one partition, however many cores there are.
+
+    Inputs with at least as many partitions as cores pass unchanged, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
