@@ -312,6 +312,12 @@ def person_pairs(people: DataFrame, r: int = RADIUS) -> DataFrame:
     return met.where(agree & middles).select(F.least("na", "nb").alias("name_1"), F.greatest("na", "nb").alias("name_2")).distinct()
 
 
+def is_swap(a: str, b: str, d: str):
+    """Column: strings at distance 2 that differ at two adjoining places, as a swap of neighbours does."""
+    pos = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    return (F.col(d) == 2) & (F.length(a) == F.length(b)) & (F.size(pos) == 2) & (F.try_element_at(pos, F.lit(-1)) - F.try_element_at(pos, F.lit(1)) == 1)
+
+
 def surname_pairs(uses: DataFrame, r: int = RADIUS, long: int = 10) -> DataFrame:
     """(name_1, name_2): spellings of one family name, from (name, evidence).
 
@@ -337,11 +343,7 @@ def surname_pairs(uses: DataFrame, r: int = RADIUS, long: int = 10) -> DataFrame
     names_a, names_b = parsed.select(F.col("key").alias("ka"), F.col("name").alias("na")), parsed.select(F.col("key").alias("kb"), F.col("name").alias("nb"))
     met = near.unionByName(same).unionByName(begun).join(names_a, "ka").join(names_b, "kb").where(F.col("na") != F.col("nb")).distinct()
     size = F.least(F.length("ka"), F.length("kb"))
-    n = F.length("ka")
-    # a swap of neighbours: equal multisets of letters, distance 2, differing at two adjoining places
-    pos = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring("ka", i, F.lit(1)) != F.substring("kb", i, F.lit(1)))
-    swap = (F.col("d") == 2) & (F.length("ka") == F.length("kb")) & (F.size(pos) == 2) & (F.element_at(pos, -1) - F.element_at(pos, 1) == 1)
-    sure = (F.col("d") == 0) | ((size >= long) & ((F.col("d") == 1) | swap))
+    sure = (F.col("d") == 0) | ((size >= long) & ((F.col("d") == 1) | is_swap("ka", "kb", "d")))
     met = cut(met.withColumn("sure", sure), "met")
     ev = uses.where(F.col("evidence").isNotNull())
     doubt = met.where(~F.col("sure"))
