@@ -30,6 +30,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from palimpsest.plans.runtime import widen
+
 SIZE, SHARD_WORDS, SAMPLE, MAX_QUERY_WORDS = 13, 400_000, 8, 2_000_000
 _WORD = regex.compile(r"[\p{L}\p{Nd}\p{Nl}\p{No}]+")
 
@@ -193,4 +195,4 @@ def leaked_spans(corpus: DataFrame, doc: str, text: str, queries: list[tuple[int
     if not len(distinct):
         return spark.createDataFrame([], "item_id bigint, doc_id bigint, from_word bigint, to_word bigint")
     got = corpus.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return got.mapInPandas(search, "item bigint, doc bigint, from_word bigint, to_word bigint").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "from_word", "to_word")
+    return widen(got).mapInPandas(search, "item bigint, doc bigint, from_word bigint, to_word bigint").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "from_word", "to_word")

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.plans.runtime import cut
+from palimpsest.plans.runtime import cut, widen
 
 FULL, FAN_IN, ITEMS_PER_TASK, FILLER = 0.99, 8, 200_000, 0.25
 
@@ -75,7 +75,7 @@ def token_sizes(docs: DataFrame, doc: str, text: str, tokenizer: str) -> DataFra
                 yield pd.DataFrame({"doc": part["doc"], "tokens": [len(e.ids) for e in t.encode_batch(list(part["text"]), add_special_tokens=False)]})
 
     kept = docs.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return kept.mapInPandas(measure, "doc bigint, tokens int")
+    return widen(kept).mapInPandas(measure, "doc bigint, tokens int")
 
 
 def pieces(sizes: DataFrame, capacities: list[int]) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.plans.runtime import cut
+from palimpsest.plans.runtime import cut, widen
 
 BUCKETS, ROUNDS, PRIOR_STRENGTH, MIN_PRIOR, CLIP, UNLABELLED, SURE = 1 << 18, 3, 60.0, 1e-4, 4.0, 0.1, 0.95
 
@@ -48,14 +48,14 @@ PHRASES = [
     r"\b(?:enable|activate|turn on|allow|activer|activez|aktivieren|active|habilite)\b.{0,30}\b(?:javascript|cookies)\b", r"\b(?:enable|activate|turn on|allow)\b.{0,20}\bscripts\b", r"scripting turned off", r"needs? (?:java)?scripts?\b", r"javascript (?:is )?(?:required|disabled|must be)", r"blocking scripts",
     r"access denied", r"permission to (?:view|access)", r"restricted to (?:members|registered|staff)", r"(?:log|sign) in (?:again )?to\b", r"session has (?:expired|timed out)", r"something went wrong", r"try again later", r"temporarily unavailable", r"(?:unavailable|down) (?:due to|for) maintenance",
     r"checking your browser", r"verify (?:that )?you are (?:a )?human", r"captcha", r"(?:object|document|page) moved", r"you (?:are being|will be) redirected", r"redirecting", r"nicht gefunden", r"est introuvable", r"no se (?:ha )?encontr", r"return to the .{0,40}home page",
-    r"traceback", r"failed to open stream", r"stack trace", r"template variable", r"to be (?:completed|confirmed|added|inserted)", r"click or tap", r"(?:enter|insert|type|add|write) (?:your|the|up to|a|an)\b.{0,40}\b(?:here|commas|below|field)\b", r"^(?:enter|insert|type) (?:your|up to)\b",
+    r"traceback", r"^warning: \w+\(", r"\bdatabase error\b", r"could not connect to\b", r"failed to open stream", r"stack trace", r"template variable", r"to be (?:completed|confirmed|added|inserted)", r"click or tap", r"(?:enter|insert|type|add|write) (?:your|the|up to|a|an)\b.{0,40}\b(?:here|commas|below|field)\b", r"^(?:enter|insert|type) (?:your|up to)\b",
     r"lorem ipsum", r"(?:body text ){2}", r"^heading (?:one|two|three)\b", r"(?:sample|dummy|placeholder|filler) text\b", r"^(?:this is )?(?:a )?test (?:record|page|text|document|deposit|upload)\b", r"please ignore", r"\b(?:goes|sits) here\b", r"asdf|qwerty", r"quick brown fox",
 ]
 _PHRASE = re.compile("|".join(f"(?:{p})" for p in PHRASES))
 _NARRATES = re.compile(r"\b(?:was|were|had|took|which|often|such as|excluded|chosen|dropped|repeated|reported|asked|replaces|expands|interrupted|left)\b")
 # fixed values: beginnings of the words of the usual Latin filler
 LATIN = set("amet aliq anim adip aute cill comm cons cons culp cupi dese dolo duis eius elit enim esse exce exer fugi inci ipsu irur labo lore magn mini moll nisi nost null offi pari prof quis repr sint sunt temp ulla veli veni volu".split())
-MAX_TRUSTED_WORDS = 16
+MAX_TRUSTED_WORDS = 20
 
 
 def passages(text: str) -> list[str]:
@@ -126,7 +126,7 @@ def featurise(docs: DataFrame, doc: str, text: str) -> DataFrame:
                     yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), [len(x) for x in ps]), "place": np.concatenate([np.arange(len(x)) for x in ps]).astype("int32"), "seed": [trusted(p) for p in flat], "f": [f.tobytes() for f in features(flat)]})
 
     kept = docs.where(F.col(doc).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return kept.mapInPandas(each, "doc bigint, place int, seed boolean, f binary")
+    return widen(kept).mapInPandas(each, "doc bigint, place int, seed boolean, f binary")
 
 
 def _scores(pdf: pd.DataFrame, model) -> np.ndarray:
