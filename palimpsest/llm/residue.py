@@ -58,6 +58,13 @@ LATIN = set("amet aliq anim adip aute cill comm cons cons culp cupi dese dolo du
 MAX_TRUSTED_WORDS = 20
 
 
+# a slot needs one of these, a phrase one of these words: most passages have neither and are done
+_HINT = re.compile(r"[{}<>$%@#_\[\]«»…]|\.{6}|null|undefined|NaN|None|N/A|XXXX|TBC|TODO|TBA|0000-00-00|1970-01-01")
+_KEYS = set(
+    "http error fehler erreur 400 401 403 404 410 429 500 502 503 504 server gateway found exist exists shown displayed loaded opened longer moved couldn javascript scripts script cookies scripting denied permission restricted log sign session wrong again unavailable down browser human captcha redirected redirecting gefunden introuvable encontr encontró encontrado encontrada return traceback warning database connect stream stack template completed confirmed added inserted click enter insert type add write lorem body heading goes sits sample dummy placeholder filler test ignore asdf qwerty quick".split()
+)
+
+
 def passages(text: str) -> list[str]:
     return [p for p in (s.strip() for s in _SPLIT.split(text)) if p]
 
@@ -66,9 +73,14 @@ def trusted(passage: str) -> bool:
     """A passage that is surely residue or a message: a slot or a known phrase, and no narration."""
     low = passage.lower()
     words = re.findall(r"[^\W\d_]+", low)
+    hinted = bool(_HINT.search(passage))
+    if not hinted and len(words) > MAX_TRUSTED_WORDS and not sum(w[:4] in LATIN for w in words) >= 0.4 * len(words):
+        return False
     latin = sum(w[:4] in LATIN for w in words)
     if len(words) >= 5 and latin >= 0.4 * len(words):
         return True
+    if not hinted:
+        return not _KEYS.isdisjoint(re.findall(r"[^\W_]+", low)) and len(words) <= MAX_TRUSTED_WORDS and not _NARRATES.search(low) and bool(_PHRASE.search(low))
     slots = sum(len(r.findall(passage)) for k, r in _SLOT.items() if k != "tag")
     if slots >= 2 and not _NARRATES.search(re.sub(r"\bwas carried out\b", "", low)):
         return True
@@ -89,28 +101,27 @@ def features(ps: list[str]) -> list[np.ndarray]:
     """Distinct feature buckets of each passage."""
     toks: list[list[str]] = []
     for p in ps:
-        found = [f"\x01{k}" for k, r in _SLOT.items() if r.search(p)]
-        body = p
-        for k, r in _SLOT.items():
-            body = r.sub(f" \x01{k} ", body)
+        found, body = [], p
+        if _HINT.search(p):
+            found = [f"\x01{k}" for k, r in _SLOT.items() if r.search(p)]
+            for k, r in _SLOT.items():
+                body = r.sub(f" \x01{k} ", body)
         w = re.findall(r"\x01[a-z]+|[^\W\d_]+|\d+", body.lower())
         w = ["\x020" if x.isdigit() and len(x) != 3 else x for x in w]
         toks.append(w + found)
-    flat = [w for t in toks for w in t]
-    codes, uniq = pd.factorize(np.array(flat + [""], object))
-    h = _hash(list(uniq))
-    hw = h[codes]
-    out, at = [], 0
-    for t in toks:
-        n = len(t)
-        a = hw[at : at + n]
-        ends = np.array([zlib.crc32(b"<"), zlib.crc32(b">")], "uint64")
-        line = np.concatenate([ends[:1], a, ends[1:]])
-        two = line[:-1] * np.uint64(0x9E3779B1) + line[1:] * np.uint64(31)
-        size = np.array([zlib.crc32(f"n{min(n, 24) // 3}".encode())], "uint64")
-        out.append(np.unique(np.concatenate([a, two, size]) % np.uint64(BUCKETS)).astype("int32"))
-        at += n
-    return out
+    # all passages at once: words between a start and an end mark, numbered by passage
+    flat = [w for t in toks for w in ("\x03<", *t, "\x03>")]
+    sizes = np.array([len(t) for t in toks], "int64")
+    who = np.repeat(np.arange(len(toks)), sizes + 2)
+    codes, uniq = pd.factorize(np.array(flat, object))
+    h = _hash(list(uniq))[codes]
+    mark = np.array([u.startswith("\x03") for u in uniq])[codes]
+    pair = who[:-1] == who[1:]
+    two = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(31))[pair]
+    length = _hash([f"n{k}" for k in range(9)])[np.minimum(sizes, 24) // 3]
+    bucket = np.concatenate([h[~mark], two, length]) % np.uint64(BUCKETS)
+    key = np.unique(np.concatenate([who[~mark], who[:-1][pair], np.arange(len(toks))]) * BUCKETS + bucket.astype("int64"))
+    return np.split((key % BUCKETS).astype("int32"), np.searchsorted(key, np.arange(1, len(toks)) * BUCKETS))
 
 
 def featurise(docs: DataFrame, doc: str, text: str) -> DataFrame:
