@@ -170,7 +170,8 @@ def cooccurrence(
     Result: the item columns with suffixes _1 and _2 (smaller item first), n_1, n_2, n_ab, n_baskets, lift.
     """
     spark = incidence.sparkSession
-    inc = cut(incidence.select(F.col(basket).alias("basket"), *item).dropna().distinct(), "incidence")
+    names, item = item, [f"__{c}" for c in item]  # no clash with the columns made here
+    inc = cut(incidence.select(F.col(basket).alias("basket"), *[F.col(c).alias(f"__{c}") for c in names]).dropna().distinct(), "incidence")
     baskets_n, inc_n = inc.agg(F.count_distinct("basket"), F.count("*")).first()
     dictionary = cut(inc.groupBy(*item).agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count).withColumn("id", F.monotonically_increasing_id()), "items")
     # a share that leaves at most max_heavy heavy items; everything else is light
@@ -212,6 +213,6 @@ def cooccurrence(
     lo, hi = F.when(first, F.col("ka")).otherwise(F.col("kb")), F.when(first, F.col("kb")).otherwise(F.col("ka"))
     x = x.select(lo.alias("lo"), hi.alias("hi"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("n_1"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("n_2"), F.col("n").alias("n_ab"))
     return x.select(
-        *[F.col(f"lo.{c}").alias(f"{c}_1") for c in item], *[F.col(f"hi.{c}").alias(f"{c}_2") for c in item],
+        *[F.col(f"lo.__{c}").alias(f"{c}_1") for c in names], *[F.col(f"hi.__{c}").alias(f"{c}_2") for c in names],
         "n_1", "n_2", "n_ab", F.lit(baskets_n).alias("n_baskets"), (F.col("n_ab") * F.lit(float(baskets_n)) / (F.col("n_1") * F.col("n_2"))).alias("lift"),
     )

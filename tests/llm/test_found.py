@@ -36,6 +36,12 @@ def test_cooccurrence(spark, giant, share):
     assert got == brute_pairs(rows, 4, 1.2)
 
 
+def test_cooccurrence_with_clashing_names(spark):
+    d = spark.createDataFrame([(b, i, "extra") for b in range(8) for i in ("x", "y")], "id int, basket string, cnt string")
+    r = cooccur.cooccurrence(d, "id", ["basket"], 2, 0.5).collect()
+    assert [(x["basket_1"], x["basket_2"], x["n_ab"]) for x in r] == [("x", "y", 8)]
+
+
 def test_cooccurrence_empty(spark):
     d = spark.createDataFrame([], "src string, name string, year int")
     assert cooccur.cooccurrence(d, "src", ["name", "year"]).count() == 0
