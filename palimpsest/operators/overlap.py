@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions.text import author_key, is_prose
+from palimpsest.operators.citations import token_set_ratio
 
 DF_SHARE, LEAST_SHARED, POSTING_CAP, LONG_RUN, GRAM = 0.004, 3, 40, 20, 8
 
@@ -96,10 +98,16 @@ def verdict(same_author: Column, title_sim: Column, unique_runs: Column, max_run
     return F.when((same_author == 1) | (title_sim >= 95), "same_author_or_duplicate").when(unique_runs == 0, "fully_explained").when(max_run < LONG_RUN, "short_only").otherwise("residual")
 
 
+@F.pandas_udf("int")
+def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Token-set ratio of two titles, cut to a whole number; 0 if one is missing."""
+    return pd.Series([int(token_set_ratio(x or "", y or "")) for x, y in zip(a, b)])
+
+
 def same_people(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs with same_author and same_inst (0/1) from the records' creator and publisher."""
-    m = docs.groupBy("id").agg(F.max_by("creator", "harvested_at").alias("creator"), F.max_by("publisher", "harvested_at").alias("publisher"))
+    """Pairs with same_author, same_inst (0/1) and title_sim (0 to 100) from the records' creator, publisher and title."""
+    m = docs.groupBy("id").agg(*[F.max_by(c, "harvested_at").alias(c) for c in ("creator", "publisher", "title")])
     for x in ("a", "b"):
-        pairs = pairs.join(m.select(F.col("id").alias(x), author_key(F.col("creator")).alias(f"k{x}"), F.coalesce("publisher", F.lit("")).alias(f"p{x}")), x, "left")
+        pairs = pairs.join(m.select(F.col("id").alias(x), author_key(F.col("creator")).alias(f"k{x}"), F.coalesce("publisher", F.lit("")).alias(f"p{x}"), F.col("title").alias(f"t{x}")), x, "left")
     same = lambda l, r: F.when((F.col(l) != "") & (F.col(l) == F.col(r)), 1).otherwise(0)
-    return pairs.select("a", "b", same("ka", "kb").alias("same_author"), same("pa", "pb").alias("same_inst"))
+    return pairs.select("a", "b", same("ka", "kb").alias("same_author"), same("pa", "pb").alias("same_inst"), title_similarity("ta", "tb").alias("title_sim"))

@@ -85,7 +85,7 @@ def pipe_verdicts(spark: SparkSession, d: str) -> DataFrame:
     uniq = prose.join(O.common_runs(prose, g), ["a", "b", "a0", "b0"], "left_anti")
     fig = uniq.groupBy("a", "b").agg(F.count("*").alias("unique_runs"), F.max(F.col("a1") - F.col("a0")).alias("unique_max_run"))
     x = O.same_people(pairs.select("a", "b"), table(spark, d, "doc")).join(fig, ["a", "b"], "left").fillna(0, ["unique_runs", "unique_max_run"])
-    return x.withColumn("verdict", O.verdict(F.col("same_author"), F.lit(0), F.col("unique_runs"), F.col("unique_max_run")))
+    return x.withColumn("verdict", O.verdict(F.col("same_author"), F.col("title_sim"), F.col("unique_runs"), F.col("unique_max_run")))
 
 
 def pipe_selfcheck(spark: SparkSession, d: str) -> DataFrame:
