@@ -93,6 +93,10 @@ def trusted(passage: str) -> bool:
     return (slots > 0 and n <= 7) or (n <= MAX_TRUSTED_WORDS and bool(_PHRASE.search(low)))
 
 
+_DIGIT = re.compile(r"\d")
+_TOKEN = re.compile(r"\x01[a-z]+|[^\W\d_]+|\d+")
+
+
 def _hash(words: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) for w in words), "uint64", len(words))
 
@@ -106,8 +110,9 @@ def features(ps: list[str]) -> list[np.ndarray]:
             found = [f"\x01{k}" for k, r in _SLOT.items() if r.search(p)]
             for k, r in _SLOT.items():
                 body = r.sub(f" \x01{k} ", body)
-        w = re.findall(r"\x01[a-z]+|[^\W\d_]+|\d+", body.lower())
-        w = ["\x020" if x.isdigit() and len(x) != 3 else x for x in w]
+        w = _TOKEN.findall(body.lower())
+        if _DIGIT.search(body):
+            w = ["\x020" if x.isdigit() and len(x) != 3 else x for x in w]
         toks.append(w + found)
     # all passages at once: words between a start and an end mark, numbered by passage
     flat = [w for t in toks for w in ("\x03<", *t, "\x03>")]
@@ -120,7 +125,8 @@ def features(ps: list[str]) -> list[np.ndarray]:
     two = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(31))[pair]
     length = _hash([f"n{k}" for k in range(9)])[np.minimum(sizes, 24) // 3]
     bucket = np.concatenate([h[~mark], two, length]) % np.uint64(BUCKETS)
-    key = np.unique(np.concatenate([who[~mark], who[:-1][pair], np.arange(len(toks))]) * BUCKETS + bucket.astype("int64"))
+    key = np.sort(np.concatenate([who[~mark], who[:-1][pair], np.arange(len(toks))]) * BUCKETS + bucket.astype("int64"))
+    key = key[np.append(True, key[1:] != key[:-1])]
     return np.split((key % BUCKETS).astype("int32"), np.searchsorted(key, np.arange(1, len(toks)) * BUCKETS))
 
 
