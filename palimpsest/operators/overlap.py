@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType
 
 from palimpsest.functions.text import author_key, is_prose
 from palimpsest.operators.citations import token_set_ratio
@@ -98,7 +99,7 @@ def verdict(same_author: Column, title_sim: Column, unique_runs: Column, max_run
     return F.when((same_author == 1) | (title_sim >= 95), "same_author_or_duplicate").when(unique_runs == 0, "fully_explained").when(max_run < LONG_RUN, "short_only").otherwise("residual")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Token-set ratio of two titles, cut to a whole number; 0 if one is missing."""
     return pd.Series([int(token_set_ratio(x or "", y or "")) for x, y in zip(a, b)])
