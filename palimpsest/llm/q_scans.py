@@ -9,7 +9,11 @@ from palimpsest.plans.runtime import cut, table
 
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "doc").select(F.col("id").alias("doc_id"), "title")
+    doc, page = table(spark, sf_dir, "doc"), table(spark, sf_dir, "page")
+    titles = doc.select(F.col("id").alias("doc_id"), "title", (F.col("no_text_pages") > 0).alias("scanned"))
+    # pages whose text layer the first reader could not use were scanned
+    pages = page.groupBy("doc_id").agg(F.max(F.coalesce("source", F.lit("none")) != "pdfplumber").alias("scanned"))
+    titles = titles.unionByName(pages.select("doc_id", F.lit(None).cast("string").alias("title"), "scanned"))
     return scans.repair(table(spark, sf_dir, "sentences"), titles)
 
 

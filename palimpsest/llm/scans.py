@@ -1,7 +1,9 @@
 """Text from scanned pages: finding and repairing what the scan broke.
 
-The lexicon is counted over all rows (words of at least ``max(least, share * all words)`` uses, a
-bounded number).  A row is de-lined to one stream and decoded: a Viterbi search over the stream
+The lexicon is counted over all distinct rows (words of at least ``max(least, share * all words)``
+uses, a bounded number).  Where it is known which records were scanned, a word must also be used
+elsewhere: one that stands in scans more than ``APART`` times as often as in other text is taken
+for noise, however large the corpus.  A row is de-lined to one stream and decoded: a Viterbi search over the stream
 spells every stretch around an unknown word with lexicon words, at a price for
 
 * a break inside a word (line-end hyphen, soft hyphen, blank, blanks between all letters),
@@ -32,9 +34,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.plans.runtime import cut
+from palimpsest.plans.runtime import cut, widen
 
-LEAST, SHARE, RATIO, MIN_BASE = 3, 2e-7, 20, 10
+LEAST, SHARE, RATIO, MIN_BASE, APART = 3, 2e-7, 20, 10, 5
 # fixed values: what a scan makes of characters (read -> meant)
 CONFUSIONS = {
     "f": ["t"], "c": ["e"], "b": ["h"], "!": ["i", "l"], "1": ["l", "i"], "0": ["o"], "5": ["s"], "9": ["g"], "8": ["b"], "6": ["b"], "ɑ": ["a"], "|": ["l", "i"], "$": ["s"], "q": ["g"],
@@ -272,20 +274,33 @@ def read_row(text: str, title: str | None, dec: Decoder) -> tuple[str, list[str]
 
 
 def lexicon(sentences: DataFrame, least: int = LEAST, share: float = SHARE) -> dict[str, int]:
-    """Counts of the words used at least max(least, share * all words) times: at most 1 / share of them."""
-    words = sentences.where(F.col("text").isNotNull()).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\p{L}]+(?:'[\p{L}]+)?"), 0)).alias("w"))
-    counts = cut(words.groupBy("w").agg(F.count("*").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where((F.col("n") >= max(least, share * total)) & ((F.length("w") > 1) | F.col("w").isin("a", "i"))).toPandas()
+    """Counts of the words used at least max(least, share * all words) times: at most 1 / share of them.
+
+    With a column ``scanned`` the rate of a word in scanned rows may be at most APART times its rate in the others, so
+    what only scans contain never becomes a word; where either kind is missing there is nothing to compare.
+    """
+    scanned = F.col("scanned") if "scanned" in sentences.columns else F.lit(False)
+    words = sentences.where(F.col("text").isNotNull()).select(scanned.alias("scanned"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\p{L}]+(?:'[\p{L}]+)?"), 0)).alias("w"))
+    counts = cut(words.groupBy("w").agg(F.count("*").alias("n"), F.count_if("scanned").alias("scans")), "words")
+    total, scans = (x or 0 for x in counts.agg(F.sum("n"), F.sum("scans")).first())
+    rows = counts.where((F.col("n") >= max(least, share * total)) & ((F.length("w") > 1) | F.col("w").isin("a", "i")))
+    if 0 < scans < total:
+        rows = rows.where(F.col("scans") / float(scans) <= APART * (F.col("n") - F.col("scans")) / float(total - scans))
+    rows = rows.select("w", "n").toPandas()
     return dict(zip(rows["w"], rows["n"].astype(int)))
 
 
 def repair(sentences: DataFrame, titles: DataFrame) -> DataFrame:
-    """(doc_id, idx, text, repaired, found, page, bucket, heading) of every distinct row; ``titles`` is (doc_id, title)."""
+    """(doc_id, idx, text, repaired, found, page, bucket, heading) of every distinct row; ``titles`` is (doc_id, title) and may have ``scanned``."""
     rows = sentences.select("doc_id", "idx", "text", "page", "bucket", "heading").distinct()
-    counts = lexicon(sentences)
+    known = [F.max("scanned").alias("scanned")] if "scanned" in titles.columns else []
+    titled = rows.join(titles.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("title").alias("title"), *known), "doc_id", "left")
+    if known:
+        titled = titled.withColumn("scanned", F.coalesce("scanned", F.lit(True)))
+    titled = cut(titled, "titled")
+    counts = lexicon(titled)
+    titled = widen(titled.drop("scanned"))
     sent = sentences.sparkSession.sparkContext.broadcast(counts)
-    titled = rows.join(titles.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("title").alias("title")), "doc_id", "left")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dec, fine = Decoder(sent.value), {}

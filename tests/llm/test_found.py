@@ -324,3 +324,15 @@ def test_scan_tables(spark):
     p = scans.paragraphs(r).collect()
     assert " ".join(x["text"] for x in sorted(p, key=lambda x: x["first_idx"])).count("framework") == 13
     assert scans.repair(s.limit(0), titles).count() == 0
+
+
+def test_lexicon_leaves_out_what_only_scans_contain(spark):
+    """Noise stays noise however often a larger corpus repeats it."""
+    clean = "The narrow framework supported the river sediment rather than a remote expansion of savings."
+    noisy = "The narrow framework supported the river sediment ratherthana remote expansion ofthe savings."
+    rows = [(f"c{k}", i, clean, 1, "x", "h") for k in range(20) for i in range(5)] + [(f"s{k}", i, noisy if i == 0 else clean, 1, "x", "h") for k in range(8) for i in range(5)]
+    s = spark.createDataFrame(rows, "doc_id string, idx int, text string, page int, bucket string, heading string")
+    titles = spark.createDataFrame([(f"{c}{k}", None, c == "s") for c, n in (("c", 20), ("s", 8)) for k in range(n)], "doc_id string, title string, scanned boolean")
+    got = scans.repair(s, titles).where("size(found) > 0").collect()
+    assert {(r["doc_id"], r["idx"]) for r in got} == {(f"s{k}", 0) for k in range(8)}
+    assert all("rather than a remote" in r["repaired"] for r in got)
