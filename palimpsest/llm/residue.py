@@ -218,6 +218,6 @@ def residue_records(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, log_odds, place, passages): each record with a passage above zero, its best score and where."""
     feats = cut(featurise(docs, doc, text), "passages")
     scored = score_passages(feats, fit(feats))
-    hit = (F.col("log_odds") > 0) | F.col("seed")
+    hit = F.col("log_odds") > 0  # trusted patterns only train
     best = scored.groupBy("doc").agg(F.max(F.struct(hit.alias("hit"), "log_odds", "place")).alias("m"), F.count_if(hit).alias("passages"))
     return best.where("m.hit").select("doc", "m.log_odds", "m.place", "passages")

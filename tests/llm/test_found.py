@@ -257,6 +257,18 @@ def test_residue_records(spark):
     assert residue.residue_records(d.limit(0), "doc_id", "text").count() == 0
 
 
+def test_residue_is_decided_by_the_model(spark):
+    """An author's sentence that happens to match a trusted pattern is kept if its log-odds say so."""
+    rng = random.Random(0)
+    good = lambda: " ".join(f"The {rng.choice('abcdefgh')}{rng.randrange(60)}word studied term{rng.randrange(90)} with care." for _ in range(4))
+    odd = "The a1word studied redirecting term5 with care."
+    assert residue.trusted(odd)
+    rows = [(i, good()) for i in range(300)] + [(1000 + i, good() + "\n" + ("Page not found.", "Access denied.")[i % 2]) for i in range(20)] + [(3000, good() + "\n" + odd)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = residue.residue_records(d, "doc_id", "text").collect()
+    assert {r["doc"] for r in got} == set(range(1000, 1020)) and all(r["log_odds"] > 0 for r in got)
+
+
 # ---- subjects
 
 
