@@ -145,3 +145,23 @@ def test_ingest_is_idempotent(spark, tmp_path):
     for n in ("c1", "c2"):  # a second run with an own checkpoint replays every file
         ingest.ingest_once(ingest.stream_table(spark, src, s), ["id"], dst, str(tmp_path / n)).awaitTermination()
     assert spark.read.parquet(dst).count() == 10
+
+
+def test_near_verbatim_is_complete(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(C, "CELL", 40)
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdeiorst") for _ in range(rng.randrange(2, 11))) for _ in range(60)]
+    rows = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(6, 16))) for _ in range(90)]
+    for t in rows[:60]:
+        w = t.split()
+        rows.append(" ".join(x[:-1] + "x" if len(x) > 5 else x for x in w))  # every long word misread
+        rows.append(" ".join(sorted(w, key=len)[:-2]))
+        rows.append(" ".join(w + rng.sample(vocab, 3)))
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(rows)], "key string, text string")
+    got = {(r["ka"], r["kb"]) for r in C.near_verbatim(d, d).collect()}
+    long = [(str(i), t) for i, t in enumerate(rows) if len(t.split()) >= 8]
+    want = {(i, j) for i, s in long for j, t in long if C.token_set_ratio(s, t) >= 85}
+    three = lambda t: set(sorted(set(t.split()), key=lambda w: (-len(w), w))[:3])
+    assert got == want and any(not three(s) & three(t) for i, s in long for j, t in long if (i, j) in want)
