@@ -71,6 +71,19 @@ def longest_runs(values: DataFrame, texts: DataFrame) -> DataFrame:
     return isl.groupBy("value_id", "doc_id", "d", "i").agg(F.count("*").alias("run")).groupBy("value_id", "doc_id").agg(F.max("run").alias("run"))
 
 
+def seeded_runs(values: DataFrame, texts: DataFrame, least: int = 5) -> DataFrame:
+    """(value_id, doc_id, run) as longest_runs, for runs of ``least`` tokens or more over whole texts.
+
+    Grams of ``least`` tokens are joined instead of single tokens; those on one diagonal form islands.  Both sides are
+    (doc_id, pos, tok) streams.
+    """
+    v, t = S.grams(values, least), S.grams(texts, least)
+    m = v.select(F.col("doc_id").alias("value_id"), F.col("pos").alias("pv"), "g").join(t.select("doc_id", F.col("pos").alias("pt"), "g"), "g")
+    w = Window.partitionBy("value_id", "doc_id", "d").orderBy("pt")
+    isl = m.withColumn("d", F.col("pv") - F.col("pt")).withColumn("i", F.col("pt") - F.row_number().over(w))
+    return isl.groupBy("value_id", "doc_id", "d", "i").agg((F.count("*") + least - 1).alias("run")).groupBy("value_id", "doc_id").agg(F.max("run").alias("run"))
+
+
 def verbatim_grams(published: DataFrame, private: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
     """(key, shared): grams of a published text that stand in private rows; ``private`` is a sentences table."""
     pub = S.grams(S.token_stream(S.token_rows(published.select(F.col(key).cast("string").alias("doc_id"), F.lit(0).alias("idx"), F.col(text).alias("text"), F.array().cast("array<string>").alias("excl")))), n)

@@ -21,12 +21,21 @@ def release_column_figures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def release_longest_run(spark: SparkSession, d: str) -> DataFrame:
-    """Longest stretch each work title shares with the abstract of each thesis, of five words or more."""
+    """Longest stretch each work title shares with the title of each thesis, of five words or more."""
     v = table(spark, d, "work").select(F.col("key").alias("value_id"), F.posexplode(match_tokens(F.col("title"))).alias("pos", "tok"))
     t = table(spark, d, "docs").select("docid", F.posexplode(match_tokens(F.col("title"))).alias("pos", "tok")).withColumnRenamed("docid", "doc_id")
     return R.longest_runs(v, t).where("run >= 5")
 
 
+def release_longest_run_text(spark: SparkSession, d: str) -> DataFrame:
+    """Longest stretch each work title shares with the abstract or the sentences of each thesis, of five words or more."""
+    v = table(spark, d, "work").select(F.col("key").alias("doc_id"), F.posexplode(match_tokens(F.col("title"))).alias("pos", "tok")).distinct()
+    x = table(spark, d, "docs").select(F.col("id").alias("doc_id"), F.posexplode(match_tokens(F.col("abstract"))).alias("pos", "tok")).distinct()
+    s = S.token_stream(S.token_rows(table(spark, d, "sentences"))).select("doc_id", "pos", "tok")
+    runs = R.seeded_runs(v, x).unionByName(R.seeded_runs(v, s))
+    return runs.groupBy("value_id", "doc_id").agg(F.max("run").alias("run"))
+
+
 def release_verbatim(spark: SparkSession, d: str) -> DataFrame:
     """Published excerpts that repeat retained sentences of theses."""
     return R.verbatim_grams(table(spark, d, "documents"), table(spark, d, "sentences"), "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "shared")
@@ -49,7 +58,7 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return event_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-QUERIES = {f.__name__: f for f in (release_column_policy, release_column_figures, release_longest_run, release_verbatim, release_listing, set_symmetric_difference, stream_event_counts)}
+QUERIES = {f.__name__: f for f in (release_column_policy, release_column_figures, release_longest_run, release_longest_run_text, release_verbatim, release_listing, set_symmetric_difference, stream_event_counts)}
 
 
 def _prob() -> str:

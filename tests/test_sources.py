@@ -165,3 +165,14 @@ def test_near_verbatim_is_complete(spark, monkeypatch):
     want = {(i, j) for i, s in long for j, t in long if C.token_set_ratio(s, t) >= 85}
     three = lambda t: set(sorted(set(t.split()), key=lambda w: (-len(w), w))[:3])
     assert got == want and any(not three(s) & three(t) for i, s in long for j, t in long if (i, j) in want)
+
+
+def test_work_titles_meet_whole_texts(spark, tmp_path):
+    from palimpsest.operators import release_queries as Q
+
+    spark.createDataFrame([("w1", "A plain theory of narrow bridges under load"), ("w2", "Four words of it")], "key string, title string").write.parquet(f"{tmp_path}/work.parquet")
+    spark.createDataFrame([("d1", "Other title", "We use a plain theory of narrow beams."), ("d2", "Other title", None)], "id string, title string, abstract string").write.parquet(f"{tmp_path}/docs.parquet")
+    rows = [("d2", 0, "As in a plain theory of", []), ("d2", 1, "narrow bridges under load, four words of it.", []), ("d3", 0, "four words of nothing", [])]
+    spark.createDataFrame(rows, "doc_id string, idx int, text string, excl array<string>").write.parquet(f"{tmp_path}/sentences.parquet")
+    got = {tuple(r) for r in Q.release_longest_run_text(spark, str(tmp_path)).collect()}
+    assert got == {("w1", "d1", 5), ("w1", "d2", 8)}
