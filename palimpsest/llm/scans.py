@@ -317,49 +317,109 @@ def repair(sentences: DataFrame, titles: DataFrame) -> DataFrame:
 
 # ---- paragraphs
 
-USUAL, BREAK, CHUNK = 90, 6.0, 400
+USUAL, BREAK = 90, 6.0
 
 
-def best_breaks(words: np.ndarray, change: np.ndarray, usual: int = USUAL) -> np.ndarray:
-    """Paragraph number of each sentence: least sum of break prices and squared deviations from the usual length (in words)."""
-    n = len(words)
-    total = np.concatenate([[0], np.cumsum(words)])
-    price = BREAK * (1 - np.clip(change, 0, 1))
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, "int64")
-    best[0] = 0
-    for j in range(1, n + 1):
-        i = np.arange(max(0, j - 60), j)
-        size = (total[j] - total[i]) / usual
-        cost = best[i] + 4 * (size - 1) ** 2 + np.where(i > 0, price[i], 0)
-        # a paragraph may not run across a change of heading
-        hard = np.array([(change[k + 1 : j] >= 1).any() for k in i])
-        cost = np.where(hard, cost + 1e6, cost)
+class Breaks:
+    """Least sum of break prices and squared deviations from the usual length (in words), sentence by sentence.
+
+    A start is given up only when the paragraph from it holds a place whose break would save more than it costs; longer
+    paragraphs hold that place too, so nothing is lost.  A break is final once all starts still open agree on it.
+    """
+
+    def __init__(self, usual: int = USUAL):
+        self.usual, self.n, self.words = usual, 0, 0.0
+        self.first, self.done = 0, 0  # the first open start; sentences before ``done`` have been handed out
+        self.at: list[tuple[float, float, bool]] = []  # of each open start: words before it, price of a break there, whether it is hard
+        self.best: list[float] = []
+        self.back: dict[int, int] = {0: 0}
+        self.pending = 0.0
+
+    def add(self, words: float, change: float) -> None:
+        """One more sentence; ``change`` of 1 is a break that must be."""
+        self.at.append((self.words, BREAK * (1 - min(max(change, 0), 1)) if self.n else 0.0, change >= 1 and self.n > 0))
+        self.best.append(self.pending)
+        if change >= 1 and self.n:  # no paragraph runs across
+            self._drop(self.n)
+        self.n, self.words = self.n + 1, self.words + words
+        before = np.array([x[0] for x in self.at])
+        size = (self.words - before) / self.usual
+        cost = np.array(self.best) + 4 * (size - 1) ** 2 + np.array([x[1] for x in self.at])
         k = int(cost.argmin())
-        best[j], back[j] = cost[k], i[k]
-    out, j, cuts = np.zeros(n, "int64"), n, []
-    while j > 0:
-        cuts.append(back[j])
-        j = back[j]
-    for p, c in enumerate(sorted(cuts)):
-        out[c:] = p
+        self.pending, self.back[self.n] = float(cost[k]), self.first + k
+        left = before[None, :] - before[:, None]  # words from a start to a later one
+        saves = (left / self.usual * size[None, :] > 0.5 + BREAK / 8).any(axis=1)
+        if saves.any():
+            self._drop(self.first + int(np.flatnonzero(saves)[-1]) + 1)
+
+    def _drop(self, to: int) -> None:
+        self.at, self.best, self.first = self.at[to - self.first :], self.best[to - self.first :], to
+
+    def settled(self, end: bool = False) -> list[int]:
+        """Ends of the paragraphs that are certain and have not been told; all of them at the end."""
+        paths = []
+        for j in [self.n] if end else [*range(self.first, self.n + 1)]:
+            ends = []
+            while j > self.done:
+                ends.append(j)
+                j = self.back[j]
+            paths.append(ends[::-1])
+        same = 0
+        while all(len(p) > same for p in paths) and len({p[same] for p in paths}) == 1:
+            same += 1
+        out = paths[0][:same]
+        if out:
+            self.done = out[-1]
+            self.back = {j: i for j, i in self.back.items() if j >= self.done}
+        return out
+
+
+def best_breaks(words: np.ndarray, change: np.ndarray, usual: int = USUAL) -> np.ndarray:
+    """Paragraph number of each sentence."""
+    b = Breaks(usual)
+    for w, c in zip(words, change):
+        b.add(float(w), float(c))
+    out = np.zeros(len(words), "int64")
+    for e in b.settled(end=True) if len(words) else []:
+        out[e:] += 1
     return out
 
 
 def paragraphs(repaired: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, first_idx, last_idx, text) of the repaired rows, in blocks of rows that end at a heading where they can."""
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["idx", "repaired"]).reset_index(drop=True)
-        pdf = pdf[pdf["repaired"].fillna("") != ""].reset_index(drop=True)
-        if not len(pdf):
-            return pd.DataFrame({"doc_id": [], "paragraph": [], "first_idx": [], "last_idx": [], "text": []})
-        head = (pdf["heading"].fillna("") != pdf["heading"].fillna("").shift()).to_numpy() & (pdf["heading"].fillna("") != "").to_numpy()
-        bucket = (pdf["bucket"].fillna("") != pdf["bucket"].fillna("").shift()).to_numpy()
-        page = (pdf["page"] != pdf["page"].shift()).to_numpy()
-        change = np.where(head | bucket, 1.0, np.where(page, 0.3, 0.0))
-        p = best_breaks(pdf["repaired"].str.split().map(len).to_numpy(), change)
-        g = pdf.groupby(p)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "paragraph": [f"{pdf['block'].iloc[0]}.{x}" for x in g["idx"].first().index], "first_idx": g["idx"].min().to_numpy(), "last_idx": g["idx"].max().to_numpy(), "text": g["repaired"].agg(" ".join).to_numpy()})
-
-    blocked = repaired.withColumn("block", F.floor(F.col("idx") / CHUNK).cast("int")).select("doc_id", "block", "idx", "repaired", "page", "bucket", "heading")
-    return blocked.groupBy("doc_id", "block").applyInPandas(each, "doc_id string, paragraph string, first_idx int, last_idx int, text string")
+    """(doc_id, paragraph, first_idx, last_idx, text) of the repaired rows; records go by in order and are never held as a whole."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, b, held, number, last = None, Breaks(), [], 0, None
+        out: list[tuple] = []
+
+        def hand(end: bool) -> None:
+            nonlocal held, number
+            begin = b.done
+            for e in b.settled(end):
+                part, held = held[: e - begin], held[e - begin :]
+                out.append((doc, str(number), part[0][0], part[-1][0], " ".join(x[1] for x in part)))
+                number, begin = number + 1, e
+
+        for pdf in batches:
+            for d, idx, text, page, bucket, heading in zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("doc_id", "idx", "repaired", "page", "bucket", "heading"))):
+                if d != doc:
+                    if held:
+                        hand(True)
+                    doc, b, held, number, last = d, Breaks(), [], 0, None
+                now = (heading or "", bucket or "", page)
+                new = last is None or (now[0] != last[0] and now[0] != "") or now[1] != last[1]
+                b.add(len(text.split()), 1.0 if new else 0.3 if page is None or page != last[2] else 0.0)
+                last = now
+                held.append((idx, text))
+                if len(held) % 256 == 0:
+                    hand(False)
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "paragraph", "first_idx", "last_idx", "text"])
+                out.clear()
+        if held:
+            hand(True)
+            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "first_idx", "last_idx", "text"])
+
+    rows = repaired.where(F.coalesce("repaired", F.lit("")) != "").select("doc_id", "idx", "repaired", "page", "bucket", "heading")
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "idx", "repaired")
+    return ordered.mapInPandas(each, "doc_id string, paragraph string, first_idx int, last_idx int, text string")

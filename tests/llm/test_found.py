@@ -348,3 +348,25 @@ def test_lexicon_leaves_out_what_only_scans_contain(spark):
     got = scans.repair(s, titles).where("size(found) > 0").collect()
     assert {(r["doc_id"], r["idx"]) for r in got} == {(f"s{k}", 0) for k in range(8)}
     assert all("rather than a remote" in r["repaired"] for r in got)
+
+
+def test_paragraphs_of_long_records(spark):
+    """No break is forced at a multiple of 400 rows, nor after 60 short sentences."""
+    rng = random.Random(3)
+    long = [rng.choice([4, 9, 17, 30, 140]) for _ in range(900)]
+    for words in ([1] * 160, long[:130]):
+        change = np.array([rng.choice([0, 0, 0.3, 0, 0]) for _ in words])
+        total, n = np.cumsum([0, *words]), len(words)
+        best, back = [0.0] + [np.inf] * n, [0] * (n + 1)
+        for j in range(1, n + 1):  # brute force over all starts
+            cost = [best[i] + 4 * ((total[j] - total[i]) / 90 - 1) ** 2 + (6 * (1 - change[i]) if i else 0) for i in range(j)]
+            best[j], back[j] = min(cost), int(np.argmin(cost))
+        got = scans.best_breaks(np.array(words), change)
+        starts = [i for i in range(n) if i == 0 or got[i] != got[i - 1]]
+        price = sum(4 * ((total[b] - total[a]) / 90 - 1) ** 2 + (6 * (1 - change[a]) if a else 0) for a, b in zip(starts, starts[1:] + [n]))
+        assert abs(price - best[n]) < 1e-9
+    rows = [("d", i, "w " * k, 1, "x", "h") for i, k in enumerate(long)]
+    d = spark.createDataFrame(rows, "doc_id string, idx int, repaired string, page int, bucket string, heading string")
+    want = scans.best_breaks(np.array(long), np.zeros(900))
+    got = sorted((r["first_idx"], r["last_idx"]) for r in scans.paragraphs(d).collect())
+    assert got == [(int(np.flatnonzero(want == p)[0]), int(np.flatnonzero(want == p)[-1])) for p in range(want.max() + 1)]
