@@ -1,16 +1,19 @@
 """Template residue and site messages: positive-unlabelled naive Bayes by EM over passages.
 
-A record is cut into passages (lines and sentences).  Passages that match a trusted pattern and do
-not narrate are the labelled positives; all others are unlabelled.  Features are words, pairs
-of neighbouring words and the shapes of slots, hashed to a fixed number of
-buckets, so the model is two arrays of fixed size however large the corpus.  EM starts with the
-unlabelled as negative, then scores them by naive Bayes and counts them with their posterior;
-trusted passages stay positive.  An unlabelled passage counts ``UNLABELLED`` times its posterior as positive
-where that exceeds ``SURE``; small posteriors of frequent furniture (menus, item captions) would
-otherwise outweigh the smoothing and pull it over.  A single feature counts ``CLIP`` at most either way, so that
-one rare word shared with a message does not decide.  A feature never seen in a positive counts against it by
-the smoothing towards the background, which is what keeps sentences *about* errors or
-templates out: they hold many words no message has.
+A record is cut into passages (lines and sentences).  A few shapes are trusted: unfilled slots
+with little else around them, status codes with their standard phrase, page mark-up, filler text, and
+the commonest short site messages.  Passages of these shapes are the labelled positives; all others are
+unlabelled.  They only train: every decision is by log-odds, also that on a trusted passage.
+
+Features are words, pairs of neighbouring words, the shapes of slots, the length of the passage and
+the size of its record, hashed to a fixed number of buckets, so the model is one array of fixed size however
+large the corpus.  A bucket counts by its share of positives, shrunk to the overall share by a
+pseudo-count in proportion to the corpus (``STRENGTH``): what is rare says little, so a message in new words
+is found by the words it shares with known ones, and what is frequent and never positive counts against
+it, which keeps sentences *about* errors or templates out.  A single feature counts ``CLIP`` at most either way.
+
+EM starts with the unlabelled as negative, then scores them and counts those above ``SURE`` with ``UNLABELLED``
+times their posterior; small posteriors of frequent furniture (menus, item captions) would otherwise pull it over.
 
 A record's score is the highest log-odds of its passages; it is excluded above zero.
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.plans.runtime import cut, widen
 
-BUCKETS, ROUNDS, PRIOR_STRENGTH, MIN_PRIOR, CLIP, UNLABELLED, SURE = 1 << 18, 3, 60.0, 1e-4, 4.0, 0.1, 0.95
+BUCKETS, ROUNDS, STRENGTH, MIN_PRIOR, CLIP, UNLABELLED, SURE = 1 << 18, 4, 1e-3, 1e-4, 4.0, 0.1, 0.95
 
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|\n+")
 # shapes of unfilled slots, each a feature of its own
@@ -41,28 +45,24 @@ SLOTS = {
     "blank": r"_{4,}|…{3,}|\.{6,}", "void": r"\[object Object\]|#REF!|\bNaN\b|\bundefined\b|\bnull\b|#N/A|\bN/A\b|(?<=[:=(] )None\b|(?<=[=(])None\b|0000-00-00|\b1970-01-01\b", "tag": r"</?(?:html|head|body|title|noscript|script|div|p|a|h1)\b[^>]*>", "xxxx": r"\bX{4,}\b|\bTBC\b|\bTODO\b|\bTBA\b",
 }
 _SLOT = {k: re.compile(v) for k, v in SLOTS.items()}
-# fixed values: phrases of messages, instructions and filler (matched in lower case)
-PHRASES = [
-    r"http status \d+", r"\b(?:400|401|403|404|410|429|500|502|503|504)\b\W+(?:error|not found|forbidden|bad gateway|gone|internal server error|service unavailable|gateway|access denied|unauthorized|too many)", r"\b(?:error|fehler|erreur)\s*#?\d+\b", r"^internal server error", r"^bad gateway",
-    r"\b(?:page|item|record|file|document|url|thesis|resource)\b.{0,40}\b(?:not found|does not exist|could not be (?:found|loaded|shown|displayed|opened)|cannot be (?:shown|displayed|found|loaded)|no longer (?:exists|available)|have been moved)", r"couldn.t find that page",
-    r"\b(?:enable|activate|turn on|allow|activer|activez|aktivieren|active|habilite)\b.{0,30}\b(?:javascript|cookies)\b", r"\b(?:enable|activate|turn on|allow)\b.{0,20}\bscripts\b", r"scripting turned off", r"needs? (?:java)?scripts?\b", r"javascript (?:is )?(?:required|disabled|must be)", r"blocking scripts",
-    r"access denied", r"permission to (?:view|access)", r"restricted to (?:members|registered|staff)", r"(?:log|sign) in (?:again )?to\b", r"session has (?:expired|timed out)", r"something went wrong", r"try again later", r"temporarily unavailable", r"(?:unavailable|down) (?:due to|for) maintenance",
-    r"checking your browser", r"verify (?:that )?you are (?:a )?human", r"captcha", r"(?:object|document|page) moved", r"you (?:are being|will be) redirected", r"redirecting", r"nicht gefunden", r"est introuvable", r"no se (?:ha )?encontr", r"return to the .{0,40}home page",
-    r"traceback", r"^warning: \w+\(", r"\bdatabase error\b", r"could not connect to\b", r"failed to open stream", r"stack trace", r"template variable", r"to be (?:completed|confirmed|added|inserted)", r"click or tap", r"(?:enter|insert|type|add|write) (?:your|the|up to|a|an)\b.{0,40}\b(?:here|commas|below|field)\b", r"^(?:enter|insert|type) (?:your|up to)\b",
-    r"lorem ipsum", r"(?:body text ){2}", r"^heading (?:one|two|three)\b", r"(?:sample|dummy|placeholder|filler) text\b", r"^(?:this is )?(?:a )?test (?:record|page|text|document|deposit|upload)\b", r"please ignore", r"\b(?:goes|sits) here\b", r"asdf|qwerty", r"quick brown fox",
-]
-_PHRASE = re.compile("|".join(f"(?:{p})" for p in PHRASES))
-_NARRATES = re.compile(r"\b(?:was|were|had|took|which|often|such as|excluded|chosen|dropped|repeated|reported|asked|replaces|expands|interrupted|left)\b")
-# fixed values: beginnings of the words of the usual Latin filler
-LATIN = set("amet aliq anim adip aute cill comm cons cons culp cupi dese dolo duis eius elit enim esse exce exer fugi inci ipsu irur labo lore magn mini moll nisi nost null offi pari prof quis repr sint sunt temp ulla veli veni volu".split())
-MAX_TRUSTED_WORDS = 20
-
-
-# a slot needs one of these, a phrase one of these words: most passages have neither and are done
+# fixed values: short messages trusted wherever they stand nearly alone, and wording of filler and of form fields
+MESSAGES = ["page not found", "access denied", "enable javascript", "something went wrong", "session has expired", "try again later", "verify you are human", "temporarily unavailable", "could not be loaded", "cannot be displayed"]
+FILLER = ["lorem ipsum", "dummy text", "sample text", "placeholder text", "test record", "goes here", "click or tap here", "type your"]
+# fixed values: the usual Latin filler
+LOREM = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris
+nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in
+culpa qui officia deserunt mollit anim id est laborum"""
+LATIN = {w[:4] for w in LOREM.split() if len(w) >= 4}
+ALONE, AROUND = 13, 7  # words of a trusted message, and words around a slot
+
+_STATUS = re.compile("|".join(rf"\b{s.value}\b\W+{re.escape(s.phrase.lower())}" for s in HTTPStatus if s.value >= 400))
+_MARKUP = re.compile(r"\s*<(?:html|head|body|noscript|script|title)\b", re.I)
+_TRACE = re.compile(r"\bin /\S+ on line \d+")
+_SHORT = re.compile("|".join(rf"\b{p}\b" for p in MESSAGES + FILLER))
+_KEYBOARD = re.compile("asdf|qwer|zxcv|hjkl")
+_WORD = re.compile(r"[^\W\d_]+")
+# a slot needs one of these; most passages have none and are done
 _HINT = re.compile(r"[{}<>$%@#_\[\]«»…]|\.{6}|null|undefined|NaN|None|N/A|XXXX|TBC|TODO|TBA|0000-00-00|1970-01-01")
-_KEYS = set(
-    "http error fehler erreur 400 401 403 404 410 429 500 502 503 504 server gateway found exist exists shown displayed loaded opened longer moved couldn javascript scripts script cookies scripting denied permission restricted log sign session wrong again unavailable down browser human captcha redirected redirecting gefunden introuvable encontr encontró encontrado encontrada return traceback warning database connect stream stack template completed confirmed added inserted click enter insert type add write lorem body heading goes sits sample dummy placeholder filler test ignore asdf qwerty quick".split()
-)
 
 
 def passages(text: str) -> list[str]:
@@ -70,27 +70,24 @@ def passages(text: str) -> list[str]:
 
 
 def trusted(passage: str) -> bool:
-    """A passage that is surely residue or a message: a slot or a known phrase, and no narration."""
+    """A passage of one of the trusted shapes."""
     low = passage.lower()
-    words = re.findall(r"[^\W\d_]+", low)
-    hinted = bool(_HINT.search(passage))
-    if not hinted and len(words) > MAX_TRUSTED_WORDS and not sum(w[:4] in LATIN for w in words) >= 0.4 * len(words):
-        return False
-    latin = sum(w[:4] in LATIN for w in words)
-    if len(words) >= 5 and latin >= 0.4 * len(words):
+    words = _WORD.findall(low)
+    if len(words) >= 5 and sum(w[:4] in LATIN for w in words) >= 0.5 * len(words):
         return True
-    if not hinted:
-        return not _KEYS.isdisjoint(re.findall(r"[^\W_]+", low)) and len(words) <= MAX_TRUSTED_WORDS and not _NARRATES.search(low) and bool(_PHRASE.search(low))
-    slots = sum(len(r.findall(passage)) for k, r in _SLOT.items() if k != "tag")
-    if slots >= 2 and not _NARRATES.search(re.sub(r"\bwas carried out\b", "", low)):
+    if len(words) >= 6 and len(set(words)) <= len(words) / 3:  # the same few words over and over
         return True
-    rest = low
-    for r in _SLOT.values():
-        rest = r.sub(" ", rest)
-    n = len(re.findall(r"[^\W\d_]+", rest))
-    if _NARRATES.search(rest):
+    if len(words) <= ALONE and (_STATUS.search(low) or _SHORT.search(low) or _KEYBOARD.search(low)) or len(words) <= 2 * ALONE and _TRACE.search(low):
+        return True
+    if not _HINT.search(passage):
         return False
-    return (slots > 0 and n <= 7) or (n <= MAX_TRUSTED_WORDS and bool(_PHRASE.search(low)))
+    if _MARKUP.match(passage):
+        return True
+    slots, rest = 0, passage
+    for k, r in _SLOT.items():
+        slots += 0 if k == "tag" else len(r.findall(passage))
+        rest = r.sub(" ", rest)
+    return slots > 0 and len(_WORD.findall(rest)) <= AROUND * slots
 
 
 _DIGIT = re.compile(r"\d")
@@ -101,8 +98,8 @@ def _hash(words: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) for w in words), "uint64", len(words))
 
 
-def features(ps: list[str]) -> list[np.ndarray]:
-    """Distinct feature buckets of each passage."""
+def features(ps: list[str], record: np.ndarray) -> list[np.ndarray]:
+    """Distinct feature buckets of each passage; ``record`` is the number of words of its record."""
     toks: list[list[str]] = []
     for p in ps:
         found, body = [], p
@@ -124,8 +121,9 @@ def features(ps: list[str]) -> list[np.ndarray]:
     pair = who[:-1] == who[1:]
     two = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(31))[pair]
     length = _hash([f"n{k}" for k in range(9)])[np.minimum(sizes, 24) // 3]
-    bucket = np.concatenate([h[~mark], two, length]) % np.uint64(BUCKETS)
-    key = np.sort(np.concatenate([who[~mark], who[:-1][pair], np.arange(len(toks))]) * BUCKETS + bucket.astype("int64"))
+    whole = _hash([f"r{k}" for k in range(9)])[np.minimum(np.log2(record + 1).astype("int64"), 8)]
+    bucket = np.concatenate([h[~mark], two, length, whole]) % np.uint64(BUCKETS)
+    key = np.sort(np.concatenate([who[~mark], who[:-1][pair], np.arange(len(toks)), np.arange(len(toks))]) * BUCKETS + bucket.astype("int64"))
     key = key[np.append(True, key[1:] != key[:-1])]
     return np.split((key % BUCKETS).astype("int32"), np.searchsorted(key, np.arange(1, len(toks)) * BUCKETS))
 
@@ -140,7 +138,9 @@ def featurise(docs: DataFrame, doc: str, text: str) -> DataFrame:
                 ps = [passages(t) for t in part["text"]]
                 flat = [p for x in ps for p in x]
                 if flat:
-                    yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), [len(x) for x in ps]), "place": np.concatenate([np.arange(len(x)) for x in ps]).astype("int32"), "seed": [trusted(p) for p in flat], "f": [f.tobytes() for f in features(flat)]})
+                    n = [len(x) for x in ps]
+                    record = np.repeat([sum(len(p.split()) for p in x) for x in ps], n)
+                    yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), n), "place": np.concatenate([np.arange(k) for k in n]).astype("int32"), "seed": [trusted(p) for p in flat], "f": [f.tobytes() for f in features(flat, record)]})
 
     kept = docs.where(F.col(doc).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
     return widen(kept).mapInPandas(each, "doc bigint, place int, seed boolean, f binary")
@@ -192,12 +192,11 @@ def fit(feats: DataFrame, rounds: int = ROUNDS):
         got = got[got["b"] >= 0]
         pos, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
         pos[got["b"]], every[got["b"]] = got["pos"], got["every"]
-        bg = (every + 0.5) / (every.sum() + 0.5 * BUCKETS)
-        p = (pos + PRIOR_STRENGTH * bg) / (pos.sum() + PRIOR_STRENGTH)
-        neg = np.maximum(every - pos, 0)
-        q = (neg + PRIOR_STRENGTH * bg) / (neg.sum() + PRIOR_STRENGTH)
         share = min(max(n_pos / n, MIN_PRIOR), 0.5)
-        model = (np.clip(np.log(p / q), -CLIP, CLIP), float(np.log(share / (1 - share))))
+        strength = max(1.0, STRENGTH * n)
+        is_pos = (pos + strength * share) / (every + strength)
+        odds = float(np.log(share / (1 - share)))
+        model = (np.clip(np.log(is_pos / np.maximum(1 - is_pos, 1e-9)) - odds, -CLIP, CLIP), odds)
     return model
 
 

@@ -261,7 +261,7 @@ def test_residue_is_decided_by_the_model(spark):
     """An author's sentence that happens to match a trusted pattern is kept if its log-odds say so."""
     rng = random.Random(0)
     good = lambda: " ".join(f"The {rng.choice('abcdefgh')}{rng.randrange(60)}word studied term{rng.randrange(90)} with care." for _ in range(4))
-    odd = "The a1word studied redirecting term5 with care."
+    odd = "The a1word studied access denied term5 with care."
     assert residue.trusted(odd)
     rows = [(i, good()) for i in range(300)] + [(1000 + i, good() + "\n" + ("Page not found.", "Access denied.")[i % 2]) for i in range(20)] + [(3000, good() + "\n" + odd)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -269,6 +269,17 @@ def test_residue_is_decided_by_the_model(spark):
     assert {r["doc"] for r in got} == set(range(1000, 1020)) and all(r["log_odds"] > 0 for r in got)
 
 
+def test_residue_without_any_pattern_is_found(spark):
+    """Messages of no trusted shape come out by the words they share with trusted ones."""
+    rng = random.Random(0)
+    good = lambda: " ".join(f"The {rng.choice('abcdefgh')}{rng.randrange(60)}word studied term{rng.randrange(90)} with care." for _ in range(4))
+    known = ["Sorry, something went wrong on our server.", "Your session has expired.", "Please try again later.", "Page not found on this server."]
+    new = "Sorry, your page has expired, please try our server."
+    assert not residue.trusted(new)
+    d = spark.createDataFrame([(i, good()) for i in range(300)] + [(1000 + i, known[i % 4]) for i in range(20)] + [(4000, new)], "doc_id long, text string")
+    assert {r["doc"] for r in residue.residue_records(d, "doc_id", "text").collect()} == {*range(1000, 1020), 4000}
+
+
 # ---- subjects
 
 
