@@ -1,17 +1,19 @@
 """Filling containers of fixed capacity: hierarchical residual packing.
 
-Every text is measured in tokens.  One longer than the largest capacity is split into pieces
-of that capacity and a rest; nothing else is split.  Then, per round,
+Every text is measured in tokens.  One longer than the largest capacity is split into pieces of at
+most that capacity, at token places that are also character places; nothing else is split.  Then, per round,
 
-1. each partition packs its items best-fit-decreasing into bins of the capacity;
-2. bins filled to ``full`` of the capacity or more are final;
-3. the others (the residual) become single items of their total size; they are regrouped into
-   fewer partitions and packed again, so that partly filled bins merge as a tree.
+1. items are hashed into cells of some ``per_cell`` items, and each cell is packed by best fit decreasing;
+2. bins filled to ``full`` of the capacity are final, and so are those with less room than the smallest
+   bin left: nothing can come into them;
+3. the bins left become single items of their total size, in fewer cells (a tree of ``fan_in``).
 
-The last round has one partition per capacity; it holds only the residual of the round before,
-which shrinks by the factor ``fan_in`` a round, and its members stay behind as (bin, parent)
-links, so no task ever holds the items themselves.  Best fit runs over a table of free
-room by size (at most ``capacity`` entries), in constant memory per open bin.
+After best fit a cell has at most one bin that is half full or less, and two bins more than half full never share a
+container.  So with h such small bins left in all cells, at most h bins of each fill can still be of use; the rest
+are final too.  The residual is therefore at most cells * (1 + capacity / 2) bins, whatever the items
+were, and shrinks every round; no task ever holds more than one cell.  The last round has one cell a
+capacity.  Members stay behind as (bin, parent) links.  Best fit runs over a table of free room by size (at most
+``capacity`` entries), in constant memory per open bin.
 
 Which capacity a text belongs to: the smallest container it fits in (texts of up to 512 tokens
 go to the small ones, and so on), so that every container kind is used.  Texts that only just fit
@@ -25,15 +27,17 @@ Null and empty texts have no tokens and are left out.  Repeated rows are packed
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, Window, functions as F
 
 from palimpsest.plans.runtime import cut, widen
 
-FULL, FAN_IN, ITEMS_PER_TASK, FILLER = 0.99, 8, 200_000, 0.25
+FULL, FAN_IN, PER_CELL, FILLER, MAX_KINDS = 0.99, 4, 4096, 0.25, 10_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -58,36 +62,55 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def token_sizes(docs: DataFrame, doc: str, text: str, tokenizer: str) -> DataFrame:
-    """(doc, tokens) by the tokenizer file given (byte-level BPE in the JSON form)."""
+def pieces(docs: DataFrame, doc: str, text: str, tokenizer: str, capacities: list[int]) -> DataFrame:
+    """(doc, piece, from_token, tokens, from_char, to_char, capacity): texts, or parts of those beyond the largest capacity.
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+    ``tokenizer`` is a file of byte-level BPE in the JSON form; it is sent to the executors.
+    """
+    top = max(capacities)
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_file(SparkFiles.get(name))
         t.encode_special_tokens = True
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
-                yield pd.DataFrame({"doc": part["doc"], "tokens": [len(e.ids) for e in t.encode_batch(list(part["text"]), add_special_tokens=False)]})
+                out = []
+                for d, x, e in zip(part["doc"], part["text"], t.encode_batch(list(part["text"]), add_special_tokens=False)):
+                    n = len(e)
+                    if n <= top:
+                        out.append((d, 0, 0, n, 0, len(x)))
+                        continue
+                    spans = e.offsets
+                    for i, (a, b) in enumerate(cuts(spans, top)):
+                        out.append((d, i, a, b - a, spans[a][0] if a else 0, spans[b][0] if b < n else len(x)))
+                yield pd.DataFrame(out, columns=["doc", "piece", "from_token", "tokens", "from_char", "to_char"])
 
     kept = docs.where(F.col(doc).isNotNull() & (F.length(text) > 0)).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return widen(kept).mapInPandas(measure, "doc bigint, tokens int")
-
-
-def pieces(sizes: DataFrame, capacities: list[int]) -> DataFrame:
-    """(doc, piece, from_token, tokens, capacity): texts, or parts of those beyond the largest capacity."""
-    top = max(capacities)
-    n = F.greatest(F.lit(1), F.ceil(F.col("tokens") / top)).cast("int")
-    out = sizes.where(F.col("tokens") > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
-    out = out.withColumn("from_token", F.col("piece") * top).withColumn("tokens", F.least(F.lit(top), F.col("tokens") - F.col("from_token")))
+    out = widen(kept).mapInPandas(measure, "doc bigint, piece int, from_token int, tokens int, from_char int, to_char int")
     fit = F.lit(top)
     for c in sorted(capacities, reverse=True):
         fit = F.when(F.col("tokens") <= c, F.lit(c)).otherwise(fit)
-    return out.select("doc", "piece", "from_token", "tokens", fit.alias("capacity"))
+    return out.where("tokens > 0").withColumn("capacity", fit)
+
+
+def cuts(spans: list[tuple[int, int]], top: int) -> list[tuple[int, int]]:
+    """Token ranges of at most ``top`` tokens that begin where a character begins (a character of more than ``top`` tokens is cut)."""
+    out, a = [], 0
+    while a < len(spans):
+        b = min(a + top, len(spans))
+        while b < len(spans) and b > a + 1 and spans[b][0] < spans[b - 1][1]:
+            b -= 1
+        if b < len(spans) and spans[b][0] < spans[b - 1][1]:
+            b = a + top
+        out.append((a, b))
+        a = b
+    return out
 
 
 def with_fillers(parts: DataFrame, capacities: list[int], filler: float = FILLER) -> DataFrame:
@@ -102,45 +125,63 @@ def with_fillers(parts: DataFrame, capacities: list[int], filler: float = FILLER
     return parts.withColumn("capacity", F.when(F.col("capacity") == small, to).otherwise(F.col("capacity")))
 
 
-def _round(items: DataFrame, parts: dict[int, int], full: float, last: bool) -> DataFrame:
-    """(item, capacity, tokens) -> (item, capacity, tokens, bin, filled, final), each partition on its own."""
+def _round(items: DataFrame, cells: dict[int, int], k: int) -> DataFrame:
+    """The rows of ``items`` with their bin and what it holds, each cell on its own."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat(list(batches) or [pd.DataFrame({"item": [], "capacity": [], "tokens": [], "cell": []})])
-        for (cap, cell), g in held.groupby(["capacity", "cell"]):
-            g = g.sort_values(["tokens", "item"], ascending=[False, True])
-            b = best_fit(g["tokens"].to_numpy(), int(cap))
-            filled = np.bincount(b, weights=g["tokens"].to_numpy()).astype("int64")
-            names = np.array([f"{cap}-{cell}-{i}" for i in range(len(filled))])
-            yield pd.DataFrame({"item": g["item"], "capacity": cap, "tokens": g["tokens"], "bin": names[b], "filled": filled[b], "final": last | (filled[b] >= full * cap)})
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["tokens", "item"], ascending=[False, True])
+        cap, cell = int(g["capacity"].iloc[0]), int(g["cell"].iloc[0])
+        b = best_fit(g["tokens"].to_numpy(), cap)
+        filled = np.bincount(b, weights=g["tokens"].to_numpy()).astype("int64")
+        names = np.array([f"r{k}-{cap}-{cell}-{i}" for i in range(len(filled))])
+        return g.drop(columns=["cell"]).assign(bin=names[b], filled=filled[b])
 
     n = F.lit(1)
-    for c, k in parts.items():
-        n = F.when(F.col("capacity") == c, F.lit(k)).otherwise(n)
-    # cells of alike items: a hash spreads every size over every cell
-    celled = items.withColumn("cell", F.pmod(F.xxhash64("item"), n).cast("int")).repartition(max(1, sum(parts.values())), "capacity", "cell")
-    return celled.select("item", "capacity", "tokens", "cell").mapInPandas(pack, "item string, capacity int, tokens int, bin string, filled long, final boolean")
-
-
-def pack(items: DataFrame, full: float = FULL, fan_in: int = FAN_IN, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
-    """(item, capacity, tokens) with item unique -> (item, capacity, tokens, bin); bins by repeated best fit."""
-    parts = {r["capacity"]: max(1, math.ceil(r["n"] / items_per_task)) for r in items.groupBy("capacity").agg(F.count("*").alias("n")).collect()}
-    todo, links, k = items, [], 0
+    for c, v in cells.items():
+        n = F.when(F.col("capacity") == c, F.lit(v)).otherwise(n)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", bin string, filled long"
+    return items.withColumn("cell", F.pmod(F.xxhash64("item", F.lit(k)), n)).groupBy("capacity", "cell").applyInPandas(one, schema)
+
+
+def _open(bins: DataFrame, full: float, salts: int = 64) -> DataFrame:
+    """(item, capacity, tokens) of the bins that may still be joined with another."""
+    left = bins.where(F.col("tokens") < full * F.col("capacity"))
+    small = F.col("tokens") * 2 <= F.col("capacity")
+    # one row a capacity
+    state = {r["capacity"]: (r["least"], r["small"]) for r in left.groupBy("capacity").agg(F.min("tokens").alias("least"), F.count_if(small).alias("small")).collect()}
+    least, halves = F.lit(None).cast("long"), F.lit(0)
+    for c, (m, h) in state.items():
+        least, halves = F.when(F.col("capacity") == c, F.lit(m)).otherwise(least), F.when(F.col("capacity") == c, F.lit(h)).otherwise(halves)
+    left = left.where((F.col("capacity") - F.col("tokens") >= least) & (halves > 0)).withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)))
+    for keys in (["capacity", "tokens", "salt"], ["capacity", "tokens"]):  # of one fill no more than could be of use; salted first, as one fill may be most of the bins
+        left = left.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("item"))).where(small | (F.col("rank") <= halves))
+    return left.select("item", "capacity", "tokens")
+
+
+def pack(items: DataFrame, full: float = FULL, fan_in: int = FAN_IN, per_cell: int = PER_CELL) -> DataFrame:
+    """(item, capacity, tokens, ...) with item unique -> the same rows with their bin, by repeated best fit."""
+    rounds = pack_rounds(items, full, fan_in, per_cell)
+    up = None  # (bin, root), from the last round down
+    for got in reversed(rounds[1:]):
+        level = got.select(F.col("item").alias("bin"), F.col("bin").alias("up"))
+        up = level.withColumnRenamed("up", "root") if up is None else level.join(up.withColumnRenamed("bin", "up"), "up", "left").select("bin", F.coalesce("root", "up").alias("root"))
+    first = rounds[0].drop("filled")
+    return first if up is None else first.join(up, "bin", "left").withColumn("bin", F.coalesce("root", "bin")).drop("root")
+
+
+def pack_rounds(items: DataFrame, full: float = FULL, fan_in: int = FAN_IN, per_cell: int = PER_CELL) -> list[DataFrame]:
+    """The written rounds: every item of a round with its bin and what that holds; the first has all items, the next the bins left open."""
+    todo, rounds, cells = items, [], None
     while True:
-        last = all(v == 1 for v in parts.values())
-        got = cut(_round(todo, parts, full, last).withColumn("bin", F.concat(F.lit(f"r{k}-"), "bin")), f"pack{k}")
-        links.append(got)
-        if last:
-            break
-        todo = got.where(~F.col("final")).groupBy(F.col("bin").alias("item"), "capacity").agg(F.max("filled").cast("int").alias("tokens"))
-        parts = {c: max(1, v // fan_in) for c, v in parts.items()}
-        k += 1
-    # unroll the tree from its root
-    out = None
-    for got in reversed(links):
-        if out is None:
-            up = got.select("item", "bin")
-        else:
-            up = got.join(out.withColumnRenamed("bin", "root").withColumnRenamed("item", "bin"), "bin", "left").select("item", F.coalesce("root", "bin").alias("bin"))
-        out = up
-    return items.join(out, "item")
+        sizes = {r["capacity"]: r["n"] for r in todo.groupBy("capacity").agg(F.count("*").alias("n")).collect()}
+        if rounds and not sizes:
+            return rounds
+        need = {c: max(1, math.ceil(n / per_cell)) for c, n in sizes.items()}
+        cells = need if cells is None else {c: max(n, math.ceil(cells[c] / fan_in)) for c, n in need.items()}
+        got = cut(_round(todo, cells, len(rounds)), f"pack{len(rounds)}")
+        rounds.append(got)
+        more = [c for c, v in cells.items() if v > 1]
+        if not more:
+            return rounds
+        bins = got.where(F.col("capacity").isin(more)).groupBy(F.col("bin").alias("item"), "capacity").agg(F.max("filled").cast("int").alias("tokens"))
+        todo = cut(_open(bins, full), f"open{len(rounds)}")

@@ -13,19 +13,29 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def p8_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """Container and place (token offset in it) of every text or piece."""
-    kinds = [(r["container"], r["capacity"]) for r in table(spark, sf_dir, "container").select("container", "capacity").dropna().distinct().limit(1000).collect()]
-    sizes = packing.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer or f"{TOKENIZERS}/{TOKENIZER}")
-    capacities = [c for _, c in kinds]
-    measured = cut(packing.pieces(sizes, capacities).withColumn("item", F.concat_ws("-", "doc", "piece", F.monotonically_increasing_id())), "pieces")
-    parts = packing.with_fillers(measured, capacities)
-    bins = packing.pack(parts.select("item", "capacity", "tokens"))
-    name = F.create_map(*[x for n, c in kinds for x in (F.lit(c), F.lit(n))])
-    w = Window.partitionBy("bin").orderBy(F.desc("tokens"), "item")
-    out = parts.select("item", "doc", "piece", "from_token").join(bins, "item")
+def _kinds(spark: SparkSession, sf_dir: str) -> dict[int, list[str]]:
+    """Names of the container kinds by capacity; more than MAX_KINDS is an error, never a cut."""
+    rows = table(spark, sf_dir, "container").select("container", "capacity").dropna().where("capacity > 0").distinct().limit(packing.MAX_KINDS + 1).collect()
+    if len(rows) > packing.MAX_KINDS:
+        raise ValueError(f"more than {packing.MAX_KINDS} kinds of containers")
+    out: dict[int, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["capacity"], []).append(r["container"])
+    return {c: sorted(names) for c, names in out.items()}
+
+
+def p8_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, per_cell: int = packing.PER_CELL) -> DataFrame:
+    """Container and place (token offset in it) of every text or piece; kinds of one capacity share its bins by hash."""
+    kinds = _kinds(spark, sf_dir)
+    parts = packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer or f"{TOKENIZERS}/{TOKENIZER}", list(kinds))
+    measured = cut(parts.withColumn("item", F.concat_ws("-", "doc", "piece", F.monotonically_increasing_id())), "pieces")
+    out = packing.pack(packing.with_fillers(measured, list(kinds)), per_cell=per_cell)
+    name = F.lit(None).cast("string")
+    for c, names in kinds.items():
+        name = F.when(F.col("capacity") == c, F.array(*[F.lit(x) for x in names])[F.pmod(F.xxhash64("bin"), F.lit(len(names))).cast("int")]).otherwise(name)
+    w = Window.partitionBy("bin").orderBy(F.desc("tokens"), "item")  # a bin holds at most its capacity
     out = out.withColumn("place", F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return out.select(F.col("doc").alias("doc_id"), "piece", "from_token", "tokens", name[F.col("capacity")].alias("container"), "capacity", "bin", "place")
+    return out.select(F.col("doc").alias("doc_id"), "piece", "from_token", "tokens", "from_char", "to_char", name.alias("container"), "capacity", "bin", "place")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

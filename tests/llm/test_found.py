@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import cooccur, fmindex, names, packing, residue, scans, softlink, spans, subjects
+from palimpsest.llm.q_packing import TOKENIZERS, TOKENIZER as TOKENIZER_FILE
+
+TOKENIZER = f"{TOKENIZERS}/{TOKENIZER_FILE}"
 
 # ---- items that appear together
 
@@ -162,7 +165,7 @@ def test_pack_is_whole(spark):
     rng = random.Random(1)
     items = [(f"i{k}", 100, rng.randrange(1, 60)) for k in range(400)] + [(f"j{k}", 50, rng.randrange(1, 51)) for k in range(90)]
     d = spark.createDataFrame(items, "item string, capacity int, tokens int")
-    got = packing.pack(d, items_per_task=40, fan_in=3).collect()
+    got = packing.pack(d, per_cell=40, fan_in=3).collect()
     assert sorted((r["item"], r["tokens"]) for r in got) == sorted((i, t) for i, _, t in items)
     used = Counter()
     cap = {}
@@ -175,10 +178,35 @@ def test_pack_is_whole(spark):
     assert packing.pack(d.limit(0)).count() == 0
 
 
-def test_pieces_split_only_the_large(spark):
-    d = spark.createDataFrame([(1, 8), (2, 25), (3, 0), (4, 10)], "doc long, tokens int")
-    got = {(r["doc"], r["piece"], r["from_token"], r["tokens"], r["capacity"]) for r in packing.pieces(d, [5, 10]).collect()}
-    assert got == {(1, 0, 0, 8, 10), (2, 0, 0, 10, 10), (2, 1, 10, 10, 10), (2, 2, 20, 5, 5), (4, 0, 0, 10, 10)}
+def test_pack_rounds_shrink(spark):
+    """Three rounds or more, a residual that shrinks, no cell beyond its size, and a fill close to one best fit over everything."""
+    rng = random.Random(2)
+    sizes = [min(256, max(1, int(rng.lognormvariate(3.6, 0.8)))) for _ in range(3000)]
+    d = spark.createDataFrame([(f"i{k}", 256, t) for k, t in enumerate(sizes)], "item string, capacity int, tokens int")
+    rounds = [r.toPandas() for r in packing.pack_rounds(d, per_cell=100, fan_in=3)]
+    assert len(rounds) >= 3 and all(len(a) > len(b) for a, b in itertools.pairwise(rounds))
+    assert all(r.groupby(r["bin"].str.rsplit("-", n=1).str[0]).size().max() <= 170 for r in rounds)
+    used = packing.pack(d, per_cell=100, fan_in=3).groupBy("bin").agg(F.sum("tokens").alias("t")).toPandas()
+    assert used["t"].max() <= 256 and len(used) <= 1.02 * (packing.best_fit(np.array(sizes), 256).max() + 1)
+
+
+def test_pack_of_items_that_never_share(spark):
+    """Bins that nothing can join are final at once and do not pile up in the last task."""
+    d = spark.createDataFrame([(f"i{k}", 512, 280 + k % 40) for k in range(4000)], "item string, capacity int, tokens int")
+    rounds = packing.pack_rounds(d, per_cell=100)
+    assert len(rounds) == 1 and rounds[0].select("bin").distinct().count() == 4000
+
+
+def test_pieces_split_only_the_large_and_keep_every_character(spark):
+    texts = {1: "one two three", 2: "łódź 北京 🎓🎓🎓 zażółć gęślą " * 9, 3: "", 4: None, 5: "x" * 3, 6: " plain words and more words" * 40}
+    d = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    got = packing.pieces(d, "doc", "text", TOKENIZER, [16, 64]).orderBy("doc", "piece").collect()
+    for k in (1, 2, 5, 6):
+        mine = [r for r in got if r["doc"] == k]
+        assert "".join(texts[k][r["from_char"] : r["to_char"]] for r in mine) == texts[k]
+        assert [r["from_token"] for r in mine] == [sum(x["tokens"] for x in mine[:i]) for i in range(len(mine))]
+        assert all(0 < r["tokens"] <= r["capacity"] for r in mine) and (len(mine) == 1) == (sum(r["tokens"] for r in mine) <= 64)
+    assert {r["doc"] for r in got} == {1, 2, 5, 6}
 
 
 # ---- names
