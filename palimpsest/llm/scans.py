@@ -8,11 +8,14 @@ spells every stretch around an unknown word with lexicon words, at a price for
 
 * a break inside a word (line-end hyphen, soft hyphen, blank, blanks between all letters),
 * a missing blank between words,
-* a confusion of characters (``CONFUSIONS``), or leaving the stretch as it is.
+* a confusion of characters (``CONFUSIONS``), a stray mark,
+* a word the lexicon does not have, as read or healed in the same ways.
+
+Patterns only choose the stretches; a row is noisy if the best reading differs from the text as it stands.
 
 A word is *unknown* if it is not in the lexicon, or if a confusion leads to a word used ``RATIO``
-times as often, so frequent misreadings are not learned as words.  Page furniture (running heads,
-chapter lines, page numbers in their usual dress) is found by its form and, for the running
+times as often, so frequent misreadings are not learned as words.  The method says nothing of page furniture: it (running heads,
+chapter lines, page numbers in their usual dress) is taken out first, by its form and, for the running
 head, by the beginning of the record's title; references by the author ("p. 61", "[112]",
 "see Chapter 5") stay.
 
@@ -26,6 +29,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -36,15 +40,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.plans.runtime import cut, widen
 
-LEAST, SHARE, RATIO, MIN_BASE, APART = 3, 2e-7, 20, 10, 5
+LEAST, SHARE, RATIO, MIN_BASE, APART = 3, 1e-6, 20, 10, 5
 # fixed values: what a scan makes of characters (read -> meant)
 CONFUSIONS = {
     "f": ["t"], "c": ["e"], "b": ["h"], "!": ["i", "l"], "1": ["l", "i"], "0": ["o"], "5": ["s"], "9": ["g"], "8": ["b"], "6": ["b"], "ɑ": ["a"], "|": ["l", "i"], "$": ["s"], "q": ["g"],
     "ri": ["n"], "ii": ["u"], "rn": ["m"], "cl": ["d"], "h": ["li"], "vv": ["w"], "!i": ["u"], "i!": ["u"], "!!": ["u"], "m": ["rn", "in"], "d": ["cl"], "u": ["ii"], "t": ["f"], "e": ["c"], "li": ["h"], "r!": ["n"],
 }
 SOFT = "­¬‐"  # hyphens only a scan leaves
-HEAD = 20  # letters of a title that make a running head
-WORD_COST, CONFUSION, BROKEN, SPACED, MERGED, UNKNOWN = 0.25, 3.0, 0.7, 3.5, 3.5, 9.0
+HEAD = 20  # letters a running head shares with the beginning of the title; all of a shorter title, if it has two words
+WORD_COST, CONFUSION, BROKEN, SPACED, MERGED, UNKNOWN, LETTER = 0.25, 3.0, 0.7, 3.5, 3.5, 9.0, 0.8
+KEEP, SUSPECT = 4.0, 4.0  # leaving a mark only a scan makes, and a word that is far likelier another one misread
+MOST_WRONG, FRAGMENT = 2, 4  # confusions within one word; letters of a fragment that fell off a name
 
 _ROMAN = r"(?=[ivxlc1])(?:x{0,3}(?:[i1!]x|[i1!]v|v?[i1!]{0,3}))"
 _LABEL = rf"(?:\d{{1,4}}|{_ROMAN}|[0-9!lioO]{{1,3}})"
@@ -60,8 +66,21 @@ _SPACED = re.compile(r"(?<![\w.])(?:[^\W\d_] ){3,}[^\W\d_](?![\w.])")
 _STRAY = re.compile(r"(?<=\s)[|*•·~^_`´¦§°=<>\\{}#@+%]+(?=\s|$)|^[|*•·~^_`´¦§°=<>\\{}#@]+\s")
 
 
+_GAP = re.compile(rf"\s?[-{SOFT}]\s*|\s+")
+_HYPHEN = re.compile(rf"[-{SOFT}]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_JOINT = re.compile(rf"\s?[{SOFT}]\s*|-\s+|\s-\s*")  # a break no author writes inside a word
+_PULLED = re.compile(r"(?:[^\W\d_] ){3,}[^\W\d_](?![^\W\d_])")
+_FOREIGN = re.compile(rf"[!|$ɑ](?=[^\W\d_])|(?<=[^\W\d_])[!|$ɑ]|(?<=[^\W\d_])\d(?=[^\W\d_])|[{SOFT}]")
+_LONE = re.compile(r"[|*•·~^_`´¦§°=<>\\{}#@+%]+(?=\s|$)")
+
+
+def _lower(s: str) -> str:
+    return s.lower() if len(s.lower()) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+
+
 class Decoder:
-    """Viterbi over a stretch of text with a lexicon trie."""
+    """Viterbi over a stretch of text with a lexicon trie; words outside the lexicon are spelled letter by letter at a price."""
 
     def __init__(self, counts: dict[str, int]):
         self.counts, self.total = counts, max(1, sum(counts.values()))
@@ -79,19 +98,17 @@ class Decoder:
         out, todo = [], [(i, self.trie, "", 0.0, 0, 0, False)]
         while todo:
             j, node, word, cost, wrong, gaps, changed = todo.pop()
-            if "$" in node and (j == len(s) or not s[j].isalpha() or True):
+            if "$" in node:
                 out.append((j, word, cost + node["$"], changed))
             if j >= len(s):
                 continue
             c = s[j]
             if c in node:
                 todo.append((j + 1, node[c], word + c, cost, wrong, gaps, changed))
-            if word and gaps < 12:
-                m = re.match(rf"\s?[-{SOFT}]\s*|\s+", s[j:])
-                if m and j + m.end() < len(s):
-                    price = BROKEN if re.search(rf"[-{SOFT}]", m.group()) else SPACED / (1 + gaps)
-                    todo.append((j + m.end(), node, word, cost + price, wrong, gaps + 1, True))
-            if wrong < 2:
+            if word and not c.isalnum() and (m := _GAP.match(s, j)) and m.end() < len(s):
+                price = BROKEN if _HYPHEN.search(m.group()) else SPACED / (1 + gaps)
+                todo.append((m.end(), node, word, cost + price, wrong, gaps + 1, True))
+            if wrong < MOST_WRONG:
                 for read in (s[j : j + 2], c):
                     for meant in CONFUSIONS.get(read, ()):
                         n = node
@@ -103,11 +120,34 @@ class Decoder:
                             todo.append((j + len(read), n, word + meant, cost + CONFUSION, wrong + 1, gaps, True))
         return out
 
+    def strangers(self, s: str, low: str, i: int):
+        """(end, word, cost, changed) of words the lexicon does not have: as read, healed over breaks, letters drawn together, marks replaced, or a fragment joined to a name."""
+        j = i
+        while j < len(s) and not s[j].isspace():
+            j += 1
+        marks = len(_FOREIGN.findall(s[i:j]))
+        out = [(j, low[i:j], UNKNOWN + LETTER * (j - i) + KEEP * marks, False)]
+        if marks:
+            healed, k = _FOREIGN.subn(lambda m: CONFUSIONS.get(m.group(), [""])[0], low[i:j])
+            out.append((j, healed, UNKNOWN + LETTER * len(healed) + CONFUSION * k, True))
+        if m := _PULLED.match(s, i):
+            word = low[i : m.end()].replace(" ", "")
+            out.append((m.end(), word, UNKNOWN + LETTER * len(word) + SPACED, True))
+        if m := _LETTERS.match(s, i):
+            word, breaks, e = low[i : m.end()], 0, m.end()
+            while (gap := _JOINT.match(s, e)) and (part := _LETTERS.match(s, gap.end())) and part.group()[0].islower():
+                word, breaks, e = word + low[part.start() : part.end()], breaks + 1, part.end()
+                out.append((e, word, UNKNOWN + LETTER * len(word) + BROKEN * breaks, True))
+            e = m.end()
+            if s[i].isupper() and s[e : e + 1] == " " and (part := _LETTERS.match(s, e + 1)) and part.end() - part.start() <= FRAGMENT and part.group().islower() and low[i:e] not in self.counts and part.group() not in self.counts:
+                out.append((part.end(), low[i:e] + part.group(), UNKNOWN + LETTER * (part.end() - i - 1) + SPACED, True))
+        return out
+
     def decode(self, s: str) -> tuple[str, bool]:
-        """Best reading of a lower-case stretch, and whether it differs from the plain one."""
+        """Best reading of a stretch in lower case, and whether it differs from the plain one."""
         if s in self.memo:
             return self.memo[s]
-        n = len(s)
+        n, low = len(s), _lower(s)
         best: list = [None] * (n + 1)
         best[0] = (0.0, "", False)
         for i in range(n):
@@ -121,18 +161,23 @@ class Decoder:
 
             if not s[i].isalnum() and s[i] not in "!|ɑ$":
                 offer(i + 1, cost, text + s[i], changed)
+                if (i == 0 or s[i - 1].isspace()) and (m := _LONE.match(s, i)):
+                    best[i + 1] = (cost + KEEP, text + s[i], changed)
+                    offer(m.end(), cost + BROKEN, text.rstrip(), True)
                 continue
+            if s[i] in "!|" and (i == 0 or s[i - 1].isspace()) and (m := _LONE.match(s, i)):
+                offer(m.end(), cost + BROKEN, text.rstrip(), True)
             glued = i > 0 and (s[i - 1].isalnum() or s[i - 1] in "!|ɑ")
-            for j, w, c, ch in self.spellings(s, i):
+            for j, w, c, ch in self.spellings(low, i):
                 if len(w) == 1 and w not in "ai" and j < n and s[j].isalnum():
                     continue
+                if not ch and self.misread(w):
+                    c += SUSPECT
                 offer(j, cost + c + (MERGED if glued else 0), text + (" " if glued else "") + w, changed or ch or glued)
-            if not glued:  # the stretch up to the next blank as it is
-                j = i
-                while j < n and not s[j].isspace():
-                    j += 1
-                offer(j, cost + UNKNOWN + 0.8 * (j - i), text + s[i:j], changed)
-        out = (best[n][1], best[n][2]) if best[n] else (s, False)
+            if not glued:
+                for j, w, c, ch in self.strangers(s, low, i):
+                    offer(j, cost + c, text + w, changed or ch)
+        out = (best[n][1], best[n][2]) if best[n] else (low, False)
         self.memo[s] = out
         return out
 
@@ -150,20 +195,27 @@ class Decoder:
         return w not in self.counts or bool(self.misread(w))
 
 
+def head_of(title: str | None) -> str:
+    """The letters that tell a running head, in lower case; '' for a title too short to tell anything."""
+    t = re.sub(r"\s+", " ", title or "").strip()
+    return _lower(t)[:HEAD] if len(t) >= HEAD or " " in t and len(t) >= HEAD // 2 else ""
+
+
 def furniture(text: str, title: str | None) -> list[tuple[int, int]]:
     """Places of running heads, chapter lines and page numbers in a row."""
     if _NUMBER_ROW.match(text) and re.search(r"\w", text):
         return [(0, len(text))]
     spots = [m.span() for r in (_DRESSED, _CHAPTER, _LINE_LABEL, _CAPITALS) for m in r.finditer(text)]
-    if title and len(title) >= HEAD:
-        flat, head = re.sub(r"\s", " ", text), re.sub(r"\s+", " ", title).strip()
-        k = flat.find(head[:HEAD])
+    if head := head_of(title):
+        flat, low = _lower(text).replace("\n", " "), _lower(re.sub(r"\s+", " ", title).strip())
+        k = flat.find(head)
         while k >= 0:
-            e = k + HEAD
-            while e < len(flat) and e - k < len(head) and flat[e] == head[e - k]:
+            e = k + len(head)
+            while e < len(flat) and e - k < len(low) and flat[e] == low[e - k]:
                 e += 1
-            spots.append((k, e))
-            k = flat.find(head[:HEAD], k + 1)
+            if text[k].isupper():
+                spots.append((k, e))
+            k = flat.find(head, k + 1)
     if not spots:
         return []
     spots.sort()
@@ -193,7 +245,7 @@ _MARKS = {"p", "pp", "s"}  # of references and genitives
 
 def plain(text: str, title: str | None, dec: Decoder, fine: dict[str, bool]) -> bool:
     """True if nothing in a row calls for decoding; ``fine`` remembers the words looked up."""
-    if len(text) < 40 or _SUSPECT.search(text) or (title and title[:HEAD] in text):
+    if len(text) < 40 or _SUSPECT.search(text) or (title and (head := head_of(title)) and head in _lower(text)):
         return False
     for w in _WORDS.findall(text):
         ok = fine.get(w)
@@ -206,6 +258,41 @@ def plain(text: str, title: str | None, dec: Decoder, fine: dict[str, bool]) ->
     return True
 
 
+_TOKEN = re.compile(r"[^\W\d_]*[\d!ɑ|]+[^\W_!|]*[^\W\d_][^\W_]*|[^\W\d_]+\d+(?!\w)|[^\W\d_]+(?:['][^\W\d_]+)?")
+_BETWEEN = re.compile(rf"[\s\-{SOFT}|*•·~^_`´¦§°=<>\\{{}}#@+%]*")
+_REFERENCE = re.compile(r"\[\d+(?:[,–-]\s*\d+)*\]|\(pp?\.\s*\d+(?:[–-]\d+)?\)")
+
+
+def doubtful(text: str, dec: Decoder) -> list[tuple[int, int]]:
+    """Stretches to decode: places around unknown words and unusual marks, with a word on either side."""
+    body = _REFERENCE.sub(lambda m: " " * len(m.group()), text)
+    names = _names(body)
+    tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    spots = [m.span() for r in (_BROKEN, _SPACED, _STRAY) for m in r.finditer(body)] + [m.span() for m in _MIXED.finditer(body) if not _ORDINAL.match(m.group())]
+    for w, a, b in tokens:
+        low = w.lower()
+        if w in names or (len(w) == 1 and (not w.islower() or w in "ai")) or low in _MARKS:
+            continue
+        if not (w[0].isupper() and w[1:].islower() and low not in dec.counts and not dec.misread(low)) and dec.unknown(low):
+            spots.append((a, b))
+    starts, out = [a for _, a, _ in tokens], []
+    for a, b in sorted(spots):
+        i = max(0, bisect.bisect_right(starts, a) - 1)
+        j = max(i, bisect.bisect_left(starts, b) - 1)
+        if i and _BETWEEN.fullmatch(text, tokens[i - 1][2], tokens[i][1]):
+            i -= 1
+        if j + 1 < len(tokens) and _BETWEEN.fullmatch(text, tokens[j][2], tokens[j + 1][1]):
+            j += 1
+        a, b = (min(a, tokens[i][1]), max(b, tokens[j][2])) if tokens else (a, b)
+        while b < len(text) and not text[b].isspace() and text[b].isalnum():
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def read_row(text: str, title: str | None, dec: Decoder) -> tuple[str, list[str]]:
     """(repaired text, what was found) of one row."""
     found: list[str] = []
@@ -216,61 +303,14 @@ def read_row(text: str, title: str | None, dec: Decoder) -> tuple[str, list[str]
             text = text[:a].rstrip() + " " + text[b:].lstrip()
         if not re.search(r"[^\W\d_]", text):
             return "", found
-    body = re.sub(r"\[\d+(?:[,–-]\s*\d+)*\]|\(pp?\.\s*\d+(?:[–-]\d+)?\)", lambda m: " " * len(m.group()), text)
-    if _BROKEN.search(body):
-        found.append("broken")
-    if any(not _ORDINAL.match(m.group()) for m in _MIXED.finditer(body)):
-        found.append("misread")
-    if _SPACED.search(body):
-        found.append("apart")
-    if _STRAY.search(body):
-        found.append("mark")
-    # stretches around unknown words
-    names = _names(body)
-    tokens = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]*[\d!ɑ|]+[^\W_!|]*[^\W\d_][^\W_]*|[^\W\d_]+\d+(?!\w)|[^\W\d_]+(?:['][^\W\d_]+)?", text)]
-    bad = []
-    for k, (w, a, b) in enumerate(tokens):
-        low = w.lower()
-        if w in names or (len(w) == 1 and not w.islower()):
-            continue
-        if w[0].isupper() and w[1:].islower() and low not in dec.counts and not dec.misread(low):
-            continue  # a name
-        if len(w) == 1 and w in "ai" or low in _MARKS:
-            continue
-        if dec.unknown(low):
-            bad.append(k)
-    out, last, k = [], 0, 0
-    while k < len(bad):
-        i = j = bad[k]
-        while k + 1 < len(bad) and bad[k + 1] <= j + 2:
-            k += 1
-            j = bad[k]
-        i, j = max(0, i - 1), min(len(tokens) - 1, j + 1)
-        # neighbours only across blanks and hyphens
-        while i < bad[k] and not re.fullmatch(rf"[\s\-{SOFT}]*", text[tokens[i][2] : tokens[i + 1][1]]):
-            i += 1
-        while j > i and not re.fullmatch(rf"[\s\-{SOFT}]*", text[tokens[j - 1][2] : tokens[j][1]]):
-            j -= 1
-        a, b = tokens[i][1], tokens[j][2]
-        if a >= last:
-            stretch = text[a:b]
-            fixed, changed = dec.decode(stretch.lower())
-            single = [w for w, x, y in tokens[i : j + 1] if dec.misread(w.lower())]
-            if changed:
-                found.append("decoded")
-                if stretch[:1].isupper():
-                    fixed = fixed[:1].upper() + fixed[1:]
-                out.append(text[last:a] + fixed)
-                last = b
-            elif single:
-                found.append("misread")
-            elif any(dec.counts.get(w.lower(), 0) == 0 and w.islower() and len(w) <= 4 and tokens[max(0, q - 1)][0][:1].isupper() and q and text[tokens[q - 1][2] : tokens[q][1]] == " " and tokens[q - 1][0].lower() not in dec.counts for q, (w, _, _) in enumerate(tokens[i : j + 1], i)):
-                found.append("apart")
-        k += 1
-    fixed = "".join(out) + text[last:]
-    fixed = re.sub(rf"([^\W\d_])\s?[{SOFT}]\s*([^\W\d_])", r"\1\2", fixed)
-    fixed = re.sub(r"([^\W\d_])-\n\s*([a-z])", r"\1\2", fixed)
-    return re.sub(r"\s+", " ", fixed).strip(), found
+    out, last = [], 0
+    for a, b in doubtful(text, dec):
+        fixed, changed = dec.decode(text[a:b])
+        if changed:
+            found.append("decoded")
+            out.append(text[last:a] + (fixed[:1].upper() + fixed[1:] if text[a].isupper() else fixed))
+            last = b
+    return re.sub(r"\s+", " ", "".join(out) + text[last:]).strip(), found
 
 
 def lexicon(sentences: DataFrame, least: int = LEAST, share: float = SHARE) -> dict[str, int]:

@@ -150,6 +150,14 @@ def test_leaks(spark):
     assert fmindex.leaked_spans(d, "doc_id", "text", []).count() == 0
 
 
+def test_decoder_heals_words_outside_the_lexicon():
+    """Names broken by a hyphen, letters drawn apart, marks inside a word; a suspended hyphen stays."""
+    dec = scans.Decoder({w: 50 for w in "the measure spaces of pre and post tests were small because".split()})
+    for text, want in (("the Lour-  taelt tests", "the lourtaelt tests"), ("the m e a s u r e spaces", "the measure spaces"), ("Yaend!sk tests", "yaendisk tests"), ("pre- and post tests", "pre- and post tests"), ("the B r i l n u l l tests", "the brilnull tests")):
+        got = dec.decode(text)
+        assert got == (want, want != text.lower()), (text, got)
+
+
 # ---- packing
 
 
