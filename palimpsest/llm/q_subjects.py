@@ -12,7 +12,9 @@ MAX_SUBJECTS = 1000
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
-    rows = table(spark, sf_dir, "subject").where(F.col("subject").isNotNull()).orderBy("subject").limit(MAX_SUBJECTS).collect()  # a fixed list
+    rows = table(spark, sf_dir, "subject").where(F.col("subject").isNotNull()).orderBy("subject").limit(MAX_SUBJECTS + 1).collect()  # a fixed list
+    if len(rows) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     return [(r["subject"], r["descr"] or "") for r in rows]
 
 

@@ -5,17 +5,17 @@
    min_share) terms.  A record's vector has idf weights, a title counting ``title_weight`` times,
    and unit length.
 2. Bisecting k-means: level by level every leaf that is large (``FAIR`` of the records) and loose
-   is cut in two.  The
-   first centres come from a bounded sample; all passes over centres run over all records,
-   with sums taken in each partition.  The tree has at most ``max_leaves`` leaves.
-3. A leaf is described by its discriminative terms and gets a share of each subject from the
-   hints of its members (an earlier guess, weighted by its confidence and by how rare the
-   guess is overall), plus terms it has in common with the subjects' descriptions.
+   is cut in two, the largest first, up to ``max_leaves`` leaves.  Size and looseness are those of all records.  Only the
+   first centres of a cut come from a bounded sample of ``SAMPLE`` vectors; all passes over centres run over all records,
+   with sums taken in each partition.
+3. A leaf is labelled by its ``LABEL_TERMS`` most discriminative terms.  What a term says comes from the words it shares with
+   the subjects' descriptions and from the hints of all records that use it, against their overall rate (an
+   earlier guess, weighted by its confidence); a term used with few hints follows the descriptions.
 4. A record is a mixture of leaves: every mention of a term counts for the leaves the term belongs to,
    and through them for their subjects.  Subjects with at least ``main`` of the whole are
    assigned, one or more.
 
-Null title and abstract, or no known term: the hint is taken if it names a subject, else none.
+Null title and abstract, or no term that tells a subject: the hint is taken if it names a subject, else none.
 Repeated ids count once (the least row); empty tables give no rows.
 """
 
@@ -32,6 +32,7 @@ from palimpsest.llm.names import fold
 from palimpsest.plans.runtime import cut
 
 MIN_SHARE, TITLE_WEIGHT, MAX_LEAVES, DEPTH, LLOYD, SAMPLE, FAIR, MAIN = 0.002, 2.0, 96, 14, 4, 4000, 1 / 30, 0.3
+LABEL_TERMS, FEW_HINTS, ROWS = 12, 2.0, 1024  # terms that label a leaf; hints that weigh as much as a description; rows made dense at once
 # fixed values: function words, which end a pair
 FUNCTION_WORDS = set(
     "a an the of in on at to for from by with without and or but nor as is was were are be been had has have that which whose what than rather into under against between over after before because although where when if each every any no not neither nor it its this these those their there most half earlier later once across following having until through about per cent".split()
@@ -135,112 +136,144 @@ def _seeds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ca, cb
 
 
+def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for k in range(0, len(pdf), ROWS):
+        yield pdf.iloc[k : k + ROWS]
+
+
+def _child_sums(vecs: DataFrame, tree: dict, grown: set[int], dims: int) -> dict[int, tuple[float, np.ndarray]]:
+    """(records, sum of vectors) of each child of the nodes in ``grown``, over all records."""
+    sent = vecs.sparkSession.sparkContext.broadcast((tree, grown))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, new = sent.value
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for part in _parts(pdf):
+                x = _dense(part, dims + 1)
+                x[:, dims] = 1  # counts the records
+                leaf = _walk(x[:, :dims], tree)
+                for k in np.unique(leaf):
+                    if int(k) // 2 in new:
+                        total[int(k)] = total.get(int(k), 0) + x[leaf == k].sum(axis=0, dtype="float64")
+        yield pd.DataFrame({"leaf": list(total), "s": list(total.values())})
+
+    got = vecs.where(F.size("ids") > 0).select("ids", "w").mapInPandas(sums, "leaf long, s array<double>")
+    rows = got.select("leaf", F.posexplode("s").alias("i", "x")).where("x <> 0").groupBy("leaf", "i").agg(F.sum("x").alias("x")).toPandas()  # at most leaves x dims
+    out = {}
+    for k in [c for n in grown for c in (2 * n, 2 * n + 1)]:
+        part, v = rows[rows["leaf"] == k], np.zeros(dims + 1)
+        v[part["i"].to_numpy()] = part["x"].to_numpy()
+        out[k] = (float(v[dims]), v[:dims])
+    return out
+
+
 def bisect(vecs: DataFrame, dims: int, n: int, max_leaves: int = MAX_LEAVES, depth: int = DEPTH, lloyd: int = LLOYD):
     """The tree of centre pairs by bisecting k-means over all records."""
-    sc = vecs.sparkSession.sparkContext
-    sample = _dense(vecs.where(F.size("ids") > 0).orderBy(F.xxhash64("doc")).limit(SAMPLE).select("ids", "w").toPandas(), dims)
+    known = vecs.where(F.size("ids") > 0)
+    sample = _dense(known.orderBy(F.xxhash64("doc")).limit(SAMPLE).select("ids", "w").toPandas(), dims)
     tree: dict = {}
     if len(sample) < 4:
         return tree
-    leaves = {1}
+    whole = float(known.count())
+    # of each leaf that may be cut: its records and the length of their mean
+    open_leaves = {1: (whole, float(np.linalg.norm(sample.mean(axis=0))))}
+    leaves = 1
     for _ in range(depth):
         where = _walk(sample, tree)
-        grown = {}
-        for leaf in sorted(leaves):
-            x = sample[where == leaf]
-            # worth a cut: holds more than a fair share of records and is loose
-            if len(x) >= max(8, len(sample) * FAIR) and np.linalg.norm(x.mean(axis=0)) < 0.75:
-                grown[leaf] = _seeds(x)
-        if not grown or len(leaves) + len(grown) > max_leaves:
+        # worth a cut: holds more than a fair share of records and is loose
+        fit = sorted((k for k, (size, tight) in open_leaves.items() if size >= max(8, whole * FAIR) and tight < 0.75), key=lambda k: (-open_leaves[k][0], k))
+        grown = {k: _seeds(sample[where == k]) for k in fit[: max(0, max_leaves - leaves)] if (where == k).sum() >= 4}
+        if not grown:
             break
         for _ in range(lloyd):  # all new pairs at once, over all records
-            trial = tree | grown
-            sent = sc.broadcast((trial, set(grown)))
-
-            def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                trial, new = sent.value
-                total: dict[int, np.ndarray] = {}
-                for pdf in batches:
-                    x = _dense(pdf, dims)
-                    leaf = _walk(x, trial)
-                    for k in np.unique(leaf):
-                        if int(k) // 2 in new:
-                            total[int(k)] = total.get(int(k), 0) + x[leaf == k].sum(axis=0, dtype="float64")
-                yield pd.DataFrame({"leaf": list(total), "s": list(total.values())})
-
-            got = vecs.where(F.size("ids") > 0).select("ids", "w").mapInPandas(sums, "leaf long, s array<double>")
-            pos = got.select("leaf", F.posexplode("s").alias("i", "x")).where("x <> 0").groupBy("leaf", "i").agg(F.sum("x").alias("x")).toPandas()  # at most leaves x dims
+            sums = _child_sums(vecs, tree | grown, set(grown), dims)
             fresh = {}
-            for node, (a, b) in grown.items():
-                pair = []
-                for child, old in ((2 * node, a), (2 * node + 1, b)):
-                    part = pos[pos["leaf"] == child]
-                    c = np.zeros(dims)
-                    c[part["i"].to_numpy()] = part["x"].to_numpy()
-                    norm = np.linalg.norm(c)
-                    pair.append((c / norm).astype("float32") if norm else old)
-                fresh[node] = tuple(pair)
+            for node, pair in grown.items():
+                norms = [np.linalg.norm(sums[2 * node + j][1]) for j in (0, 1)]
+                fresh[node] = tuple((sums[2 * node + j][1] / norms[j]).astype("float32") if norms[j] else pair[j] for j in (0, 1))
             shift = max(float(np.abs(fresh[k][j] - grown[k][j]).max()) for k in grown for j in (0, 1))
             grown = fresh
             if shift < 1e-3:
                 break
         tree |= grown
-        leaves = (leaves - set(grown)) | {2 * k for k in grown} | {2 * k + 1 for k in grown}
+        leaves += len(grown)
+        open_leaves = {k: (size, float(np.linalg.norm(v)) / max(size, 1.0)) for k, (size, v) in sums.items()} | {k: x for k, x in open_leaves.items() if k not in grown and k in fit}
     return tree
 
 
 def leaf_statistics(vecs: DataFrame, tree: dict, dims: int, subjects: list[str]):
-    """(leaf numbers, mentions leaf x term, hint weight leaf x subject), over all records."""
+    """(leaf numbers, mass leaf x term, hint weight term x subject), over all records."""
     sent = vecs.sparkSession.sparkContext.broadcast(tree)
     of = {s: i for i, s in enumerate(subjects)}
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        term, hint = {}, {}
+        term, hint = {}, np.zeros((dims, len(of)))
         for pdf in batches:
-            leaf = _walk(_dense(pdf, dims), sent.value)
-            mass = _dense(pdf, dims, "w")
-            for k in np.unique(leaf):
-                rows = leaf == k
-                term[int(k)] = term.get(int(k), 0) + mass[rows].sum(axis=0, dtype="float64")
-                h = np.zeros(len(of))
-                for name, c in zip(pdf["hint"][rows], pdf["conf"][rows]):
-                    if name in of:
-                        h[of[name]] += 0.3 if c is None or np.isnan(c) else max(float(c), 0.05)
-                hint[int(k)] = hint.get(int(k), 0) + h
-        yield pd.DataFrame({"leaf": list(term), "t": list(term.values()), "h": list(hint.values())})
-
-    got = vecs.where(F.size("ids") > 0).select("ids", "w", "hint", "conf").mapInPandas(each, "leaf long, t array<double>, h array<double>")
-    add = lambda c: got.select("leaf", F.posexplode(c).alias("i", "x")).where("x <> 0").groupBy("leaf", "i").agg(F.sum("x").alias("x")).toPandas()
-    t, h = add("t"), add("h")
-    leaves = sorted(set(t["leaf"]) | set(h["leaf"]))
-    row = {k: i for i, k in enumerate(leaves)}
-    terms, hints = np.zeros((len(leaves), dims)), np.zeros((len(leaves), len(subjects)))
-    for m, x in ((terms, t), (hints, h)):
-        m[[row[k] for k in x["leaf"]], x["i"].to_numpy()] = x["x"].to_numpy()
+            for part in _parts(pdf):
+                x = _dense(part, dims)
+                leaf = _walk(x, sent.value)
+                for k in np.unique(leaf):
+                    term[int(k)] = term.get(int(k), 0) + x[leaf == k].sum(axis=0, dtype="float64")
+                named = np.array([of.get(h, -1) for h in part["hint"]])
+                trust = np.where(part["conf"].isna(), 0.3, np.maximum(part["conf"].astype("float64").fillna(0), 0.05))
+                for j in np.unique(named[named >= 0]):
+                    rows = named == j
+                    hint[:, j] += trust[rows] @ x[rows]
+        # leaves, then minus one less the subject
+        yield pd.DataFrame({"k": [*term, *(-1 - j for j in range(len(of)))], "t": [*term.values(), *hint.T]})
+
+    got = vecs.where(F.size("ids") > 0).select("ids", "w", "hint", "conf").mapInPandas(each, "k long, t array<double>")
+    rows = got.select("k", F.posexplode("t").alias("i", "x")).where("x <> 0").groupBy("k", "i").agg(F.sum("x").alias("x")).toPandas()  # at most (leaves + subjects) x dims
+    leaves = sorted({int(k) for k in rows["k"] if k > 0})
+    at = {k: i for i, k in enumerate(leaves)}
+    terms, hints = np.zeros((len(leaves), dims)), np.zeros((dims, len(subjects)))
+    t, h = rows[rows["k"] > 0], rows[rows["k"] < 0]
+    terms[[at[k] for k in t["k"]], t["i"].to_numpy()] = t["x"].to_numpy()
+    hints[h["i"].to_numpy(), -1 - h["k"].to_numpy()] = h["x"].to_numpy()
     return leaves, terms, hints
 
 
-def discriminative(terms: np.ndarray, vocab: pd.DataFrame, top: int = 8) -> list[list[str]]:
-    """The terms that set each leaf apart: mass times log of its share against the whole."""
+def _distinct(terms: np.ndarray) -> np.ndarray:
+    """How far each term sets each leaf apart: its share times log of that against the whole, never below zero."""
     whole = terms.sum(axis=0) / max(terms.sum(), 1e-9)
     share = terms / np.maximum(terms.sum(axis=1, keepdims=True), 1e-9)
-    score = share * np.log((share + 1e-6) / (whole + 1e-6))
+    return np.maximum(share * np.log((share + 1e-6) / (whole + 1e-6)), 0)
+
+
+def discriminative(terms: np.ndarray, vocab: pd.DataFrame, top: int = 8) -> list[list[str]]:
+    """The terms that set each leaf apart."""
     names = vocab["term"].to_numpy()
-    return [[str(names[j]) for j in np.argsort(-s, kind="stable")[:top] if s[j] > 0] for s in score]
+    return [[str(names[j]) for j in np.argsort(-s, kind="stable")[:top] if s[j] > 0] for s in _distinct(terms)]
+
+
+def _stem(word: str) -> str:
+    for end in ("ings", "ing", "ers", "er", "ies", "es", "s"):
+        if word.endswith(end) and len(word) - len(end) >= 4:
+            return word[: -len(end)]
+    return word
+
+
+def described(vocab: pd.DataFrame, subjects: list[str], about: list[str]) -> np.ndarray:
+    """Share of each subject in each term by the words it has in common with names and descriptions."""
+    words = [{_stem(w) for w in re.findall(r"[a-z]{4,}", fold(f"{s} {d}"))} for s, d in zip(subjects, about)]
+    m = np.array([[len({_stem(w) for w in t.split()} & ws) for ws in words] for t in vocab["term"]], "float64").reshape(len(vocab), len(subjects))
+    return m / np.maximum(m.sum(axis=1, keepdims=True), 1e-9)
 
 
-def label_leaves(terms: np.ndarray, hints: np.ndarray, vocab: pd.DataFrame, subjects: list[str], about: list[str]) -> np.ndarray:
-    """Share of each subject in each leaf: hints against their overall rate, and described words among the leaf's terms."""
+def label_leaves(terms: np.ndarray, hints: np.ndarray, vocab: pd.DataFrame, subjects: list[str], about: list[str], top: int = LABEL_TERMS) -> np.ndarray:
+    """Share of each subject in each leaf, by what its discriminative terms say."""
     base = hints.sum(axis=0) / max(hints.sum(), 1e-9)
     lift = hints / np.maximum(base, 1e-3)[None, :]
     lift = lift / np.maximum(lift.sum(axis=1, keepdims=True), 1e-9)
-    words = [set(re.findall(r"[a-z]{4,}", fold(f"{s} {d}"))) for s, d in zip(subjects, about)]
-    for i, best in enumerate(discriminative(terms, vocab)):
-        flat = {w for t in best for w in t.split()}
-        for j, ws in enumerate(words):
-            lift[i, j] += 0.05 * len(flat & ws)
-    sharp = lift**3  # the majority of a leaf is its subject; a wrong guess now and then is not
-    return sharp / np.maximum(sharp.sum(axis=1, keepdims=True), 1e-9)
+    known = hints.sum(axis=1, keepdims=True) / (hints.sum(axis=1, keepdims=True) + FEW_HINTS)
+    says = known * lift + (1 - known) * described(vocab, subjects, about)
+    score = _distinct(terms)
+    for row in score:
+        row[np.argsort(-row, kind="stable")[top:]] = 0
+    mixed = score / np.maximum(score.sum(axis=1, keepdims=True), 1e-9) @ says
+    sharp = mixed**3  # the majority of a leaf is its subject; a wrong guess now and then is not
+    return sharp / np.maximum(sharp.sum(axis=1, keepdims=True), 1e-12)
 
 
 def term_subjects(terms: np.ndarray, leaf_share: np.ndarray) -> np.ndarray:
@@ -263,7 +296,7 @@ def assign(vecs: DataFrame, by_term: np.ndarray, subjects: list[str], main: floa
             out = []
             for doc, ids, tf, hint in zip(pdf["doc"].to_numpy(), pdf["ids"], pdf["tf"], pdf["hint"]):
                 mass = np.asarray(tf) @ by_term[np.asarray(ids)] if len(ids) else np.zeros(len(subjects))
-                if mass.sum() < 0.2:
+                if mass.sum() <= 0:
                     if hint in subjects:
                         out.append((doc, hint, 0.0))
                     continue

@@ -335,6 +335,13 @@ def test_subjects(spark):
         got[r["doc"]].add(r["subject"])
     assert sum(got[i] == truth[i] for i in range(240)) >= 228
     assert got[900] == {"sport"} and 901 not in got
+    # leaves are labelled by their terms: a few hints do, and without any the descriptions
+    bare = d.withColumn("discipline", F.when(F.col("docid") % 20 == 0, F.col("discipline")))
+    for rows, about in ((bare, [("law", "courts"), ("sport", "games"), ("arts", "stage")]), (d.withColumn("discipline", F.lit(None).cast("string")), [("law", "trials and torts"), ("sport", "throwing, rowing, kicking and sprints"), ("arts", "stage lights, melodies and poetry")])):
+        got = defaultdict(set)
+        for r in subjects.subject_areas(rows, about, ("docid", "title", "abstract", "discipline", "discipline_conf")).collect():
+            got[r["doc"]].add(r["subject"])
+        assert sum(got[i] == truth[i] for i in range(240)) >= 216
 
 
 # ---- scans
