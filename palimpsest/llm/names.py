@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from palimpsest.plans.runtime import cut, partitions
 
 RADIUS, SAMPLE, LEAF, GAIN, BLOCK = 2, 2000, 60, 0.9, 3000
+LEAST_ONE, LEAST_TWO, STEM = 5, 8, 4  # letters of a family name one and two edits from another; letters of one cut short
 
 # fixed values: letters without a decomposition, particles, titles
 _LETTERS = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
@@ -59,10 +60,10 @@ for _name, _short in NICKNAMES.items():
 
 
 def key_of(s: str) -> str:
-    """Letters of a family name, without particles."""
-    parts = [w for w in re.split(r"[^a-z']+", fold(s)) if w]
+    """Letters of a family name in any script, without particles; '' if it has none."""
+    parts = [w for w in re.split(r"(?:[^\w']|[\d_])+", fold(s)) if w]
     kept = [w for w in parts if w not in PARTICLES] or parts
-    return re.sub(r"[^a-z]", "", "".join(kept))
+    return "".join(kept).replace("'", "")
 
 
 def parse_person(name: str, givens: set[str]) -> tuple[str, str, str, bool]:
@@ -109,9 +110,9 @@ def parse_surname(name: str) -> tuple[str, bool]:
 
 def _codes(keys) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(k) for k in keys], "int64")
-    out = np.zeros((len(keys), max(1, n.max(initial=0))), "uint8")
+    out = np.zeros((len(keys), max(1, n.max(initial=0))), "uint8" if all(map(str.isascii, keys)) else "uint32")
     for i, k in enumerate(keys):
-        out[i, : len(k)] = np.frombuffer(k.encode("ascii", "replace"), "uint8")
+        out[i, : len(k)] = np.frombuffer(k.encode("ascii"), "uint8") if out.dtype == "uint8" else np.frombuffer(k.encode("utf-32-le"), "uint32")
     return out, n
 
 
@@ -192,10 +193,11 @@ def _within(x: list[str], y: list[str], r: int, same: bool) -> tuple[np.ndarray,
     b, nb = _codes(y)
 
     def marks(c: np.ndarray) -> np.ndarray:
-        """Bits for a letter that occurs, occurs twice, and for 12 coarse places: an edit changes at most two."""
+        """Bits for a class of letters (by code, modulo 26) that occurs, and that occurs twice: an edit changes at most two."""
         out = np.zeros(len(c), "uint64")
+        kind = np.where(c > 0, c % 26, 26)
         for k in range(26):
-            n = (c == 97 + k).sum(axis=1)
+            n = (kind == k).sum(axis=1)
             out |= (n > 0).astype("uint64") << np.uint64(k)
             out |= (n > 1).astype("uint64") << np.uint64(26 + k)
         return out
@@ -301,15 +303,26 @@ def person_pairs(people: DataFrame, r: int = RADIUS) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "key", "given", "initial", "middle", "spelt"])
 
     parsed = cut(people.mapInPandas(parse, "name string, key string, given string, initial string, middle string, spelt boolean"), "parsed")
+    parsed = parsed.where(F.col("key") != "")  # a name without letters is no one's spelling
     near = radius_join(parsed.select("key"), r)
-    long_enough = F.least(F.length("ka"), F.length("kb")) >= F.when(F.col("d") == 1, 5).otherwise(8)
-    links = near.where(long_enough).select("ka", "kb").unionByName(parsed.select(F.col("key").alias("ka"), F.col("key").alias("kb")).distinct())
+    long_enough = F.least(F.length("ka"), F.length("kb")) >= F.when(F.col("d") == 1, LEAST_ONE).otherwise(LEAST_TWO)
+    near = near.where(long_enough)
+    both = near.select("ka", "kb").unionByName(near.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).unionByName(parsed.select(F.col("key").alias("ka"), F.col("key").alias("kb")).distinct())
     a = parsed.select(F.col("key").alias("ka"), F.col("name").alias("na"), F.col("given").alias("ga"), "initial", F.col("middle").alias("ma"), F.col("spelt").alias("sa"))
     b = parsed.select(F.col("key").alias("kb"), F.col("name").alias("nb"), F.col("given").alias("gb"), "initial", F.col("middle").alias("mb"), F.col("spelt").alias("sb"))
-    met = a.join(links, "ka").join(b, ["kb", "initial"]).where(F.col("na") != F.col("nb"))
-    agree = (F.col("ga") == F.col("gb")) | ~F.col("sa") | ~F.col("sb")
+    linked = a.join(both, "ka")
+    # spelt names meet on the given name, an initial meets every given name it may stand for: no other pairs are looked at
+    spelt = linked.where("sa").join(b.where("sb").select("kb", "nb", F.col("gb").alias("ga"), "mb"), ["kb", "ga"]).select("na", "nb", "ma", "mb")
+    begun = linked.where(~F.col("sa")).join(b, ["kb", "initial"]).select("na", "nb", "ma", "mb")
+    met = spelt.unionByName(begun).where(F.col("na") != F.col("nb"))
     middles = (F.col("ma") == "") | (F.col("mb") == "") | (F.col("ma") == F.col("mb"))
-    return met.where(agree & middles).select(F.least("na", "nb").alias("name_1"), F.greatest("na", "nb").alias("name_2")).distinct()
+    return met.where(middles).select(F.least("na", "nb").alias("name_1"), F.greatest("na", "nb").alias("name_2")).distinct()
+
+
+def begun_by(stems: DataFrame, keys: DataFrame) -> DataFrame:
+    """(stem, key): each key (column ``key``) with the stems (column ``stem``) that begin it, by its beginnings of STEM letters or more."""
+    heads = keys.where(F.length("key") > STEM).withColumn("stem", F.explode(F.transform(F.sequence(F.lit(STEM), F.length("key") - 1), lambda n: F.substring("key", 1, n))))
+    return stems.join(heads, "stem")
 
 
 def is_swap(a: str, b: str, d: str):
@@ -322,7 +335,8 @@ def surname_pairs(uses: DataFrame, r: int = RADIUS, long: int = 10) -> DataFrame
     """(name_1, name_2): spellings of one family name, from (name, evidence).
 
     Long names within distance 1 (or a swap) are one name; shorter ones, and those at
-    distance 2, only if a value of ``evidence`` (a work they are cited with) is common to both.
+    distance 2, only if a value of ``evidence`` (a work they are cited with) is common to both and
+    more than half of the shorter name is left as it is.
     A name cut short by a full stop goes with the names it begins, given such evidence.
     """
     uses = cut(uses.where(F.length("name") > 0).distinct(), "uses")
@@ -334,12 +348,9 @@ def surname_pairs(uses: DataFrame, r: int = RADIUS, long: int = 10) -> DataFrame
 
     parsed = cut(uses.select("name").distinct().mapInPandas(parse, "name string, key string, short boolean"), "surnames").where(F.length("key") > 0)
     whole = parsed.where(~F.col("short"))
-    near = radius_join(whole.select("key"), r)
+    near = radius_join(whole.select("key"), r).where(F.least(F.length("ka"), F.length("kb")) > 2 * F.col("d"))
     same = whole.select(F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(0).alias("d")).distinct()
-    # names cut short: blocked by their first five letters
-    head = F.substring("key", 1, 5)
-    cut_off = parsed.where("short").select(F.col("key").alias("ka"), head.alias("h")).distinct()
-    begun = cut_off.join(whole.select(F.col("key").alias("kb"), head.alias("h")).distinct(), "h").where(F.col("kb").startswith(F.col("ka")) & (F.col("ka") != F.col("kb"))).select("ka", "kb", F.lit(9).alias("d"))
+    begun = begun_by(parsed.where("short").select(F.col("key").alias("stem")).distinct(), whole.select("key").distinct()).select(F.col("stem").alias("ka"), F.col("key").alias("kb"), F.lit(9).alias("d"))
     names_a, names_b = parsed.select(F.col("key").alias("ka"), F.col("name").alias("na")), parsed.select(F.col("key").alias("kb"), F.col("name").alias("nb"))
     met = near.unionByName(same).unionByName(begun).join(names_a, "ka").join(names_b, "kb").where(F.col("na") != F.col("nb")).distinct()
     size = F.least(F.length("ka"), F.length("kb"))

@@ -14,10 +14,13 @@ def _tidy(c: Column) -> Column:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "doc").select(_tidy(F.split_part("creator", F.lit(";"), F.lit(1))).alias("name"))
-    # evidence of a surname: year and the second and third word of the title, which survive most cuts
-    work = F.concat_ws(" ", F.col("year").cast("string"), F.slice(F.split(F.lower("title"), " "), 2, 2).cast("string"))
-    cites = table(spark, sf_dir, "cite").where(F.col("surname").isNotNull())
-    uses = cites.select(_tidy(F.col("surname")).alias("name"), F.when(F.col("year").isNotNull() & F.col("title").contains(" "), work).alias("evidence"))
+    # evidence of a surname: year and the second and third word of the title, which survive most cuts (of a title of one word, that word);
+    # and, as the year may be missing or wrong, the second to fifth word of longer titles
+    words = F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    dated = F.when(F.col("year").isNotNull() & (F.size(words) > 0), F.concat_ws(" ", F.col("year").cast("string"), F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, 2), " ")).otherwise(words[0])))
+    undated = F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 4), " "))
+    cites = table(spark, sf_dir, "cite").where(F.col("surname").isNotNull()).select(_tidy(F.col("surname")).alias("name"), F.array_compact(F.array(dated, undated)).alias("works")).distinct()
+    uses = cites.select("name", F.explode_outer("works").alias("evidence"))
     a = person_pairs(people).select(F.lit("creator").alias("field"), "name_1", "name_2")
     return a.unionByName(surname_pairs(uses).select(F.lit("surname").alias("field"), "name_1", "name_2"))
 

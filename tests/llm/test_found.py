@@ -273,6 +273,15 @@ def test_soft_linkage(spark):
     assert softlink.infer(softlink.ground(softlink.candidates(works.limit(0), recs)), rounds=2).count() == 0
 
 
+def test_names_in_other_scripts(spark):
+    """Equal or near family names link in every script; different ones, and names without letters, never do."""
+    d = spark.createDataFrame([(x,) for x in ("Иванов, Пётр", "Иваноф, Пётр", "Сидоров, Пётр", "王, 伟", "李, 伟", "?, ?", "--, --", "Smithson, J", "Smithson, John", "Smithson, Mary")], "name string")
+    got = {(r["name_1"], r["name_2"]) for r in names.person_pairs(d).collect()}
+    assert got == {("Иванов, Пётр", "Иваноф, Пётр"), ("Smithson, J", "Smithson, John")}
+    uses = spark.createDataFrame([("иванов", "w"), ("иванав", "w"), ("сидоров", "w"), ("王", "w"), ("李", "w"), ("stavr.", "w"), ("stavroula", "w"), ("stavrinou", None)], "name string, evidence string")
+    assert {(r["name_1"], r["name_2"]) for r in names.surname_pairs(uses).collect()} == {("иванав", "иванов"), ("stavr.", "stavroula")}
+
+
 # ---- residue
 
 
