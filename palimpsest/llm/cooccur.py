@@ -8,14 +8,17 @@ Input is an incidence table (basket, item).  After removing repeats
   ``max_heavy`` remain, the others being counted as light.  Heavy x heavy pairs come from
   a dense bit matrix (item x basket) by AND and popcount in each partition;
 * light x light pairs are counted by hash: a basket goes once to each of the groups its
-  light items hash to, and a group counts the pairs whose smaller item it owns;
+  light items hash to, and a group counts the pairs whose smaller item it owns.  An item with more
+  than a group's fair part of the incidences is owned by several groups, each for a share of
+  the baskets, and their counts are added;
 * heavy x light pairs come from the same visit: the group probes the basket's heavy list;
 * baskets of more than ``giant`` light items would need too many pairs.  They are few (at
   most incidences / giant), so each light item gets a bit list of the giants it is in:
   known pairs add popcount(AND), and pairs that meet in giants only are found by
   block-against-block popcounts, which give out no pair below ``min_count``.
 
-No pair is shuffled before it is counted, and only counts that can qualify leave a group.
+No pair is shuffled before it is counted; what is shuffled are baskets, once per group that owns one of their
+items.  Only counts that can qualify leave a group (of a shared item all counts, to be added).
 
 Nulls: a null basket or item is left out.  A basket with one item yields no pair; repeats
 count once; an empty table gives an empty result.
@@ -83,17 +86,20 @@ def _hash_counted(visits: DataFrame, groups: int, least: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: dict[int, int] = {}
-        names: list[int] = []
+        shared: set[int] = set()
         codes, counts, size = [], [], 0
         for pdf in batches:
             out = []
-            for g, light, heavy in zip(pdf["g"].to_numpy(), pdf["l"], pdf["h"]):
-                light = np.sort(np.asarray(light, "int64"))
+            for g, salt, light, splits, heavy in zip(pdf["g"].to_numpy(), pdf["salt"].to_numpy(), pdf["l"], pdf["s"], pdf["h"]):
+                order = np.argsort(light, kind="stable")
+                light, splits = np.asarray(light, "int64")[order], np.asarray(splits, "int64")[order]
                 heavy = np.asarray(heavy, "int64")
                 local = np.fromiter((ids.setdefault(int(x), len(ids)) for x in (*light, *heavy)), "int64", len(light) + len(heavy))
-                own = np.flatnonzero(_group_of(light, groups) == g)
+                own = np.flatnonzero(_group_of(light, salt % splits, groups) == g)
                 n = len(light)
                 if len(own):
+                    if (splits[own] > 1).any():
+                        shared.update(local[own][splits[own] > 1].tolist())
                     i = np.repeat(own, n - 1 - own)
                     if len(i):
                         j = np.concatenate([np.arange(x + 1, n) for x in own])
@@ -114,19 +120,23 @@ def _hash_counted(visits: DataFrame, groups: int, least: int) -> DataFrame:
         if codes:
             names = np.array(list(ids), "int64")
             u, c = merge(codes, counts)
-            keep = c >= least
-            yield _emit(names[u[keep] >> 32], names[u[keep] & 0xFFFFFFFF], c[keep])
+            part = np.isin(u >> 32, np.fromiter(shared, "int64", len(shared)))
+            keep = part | (c >= least)
+            u, c, part = u[keep], c[keep], part[keep]
+            yield _emit(names[u >> 32], names[u & 0xFFFFFFFF], c).assign(part=part)
 
-    return visits.mapInPandas(count, _PAIR)
+    got = visits.mapInPandas(count, f"{_PAIR}, part boolean")
+    added = got.where("part").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return got.where(~F.col("part")).select("a", "b", "n").unionByName(added)
 
 
-def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """Group that owns an item: multiplicative hash, the same here and in ``_group_col``."""
-    return ((ids * 40503 + 12345) % 1000003) % groups
+def _group_of(ids: np.ndarray, share: np.ndarray, groups: int) -> np.ndarray:
+    """Group that owns an item for a share of the baskets: multiplicative hash, the same here and in ``_group_col``."""
+    return (((ids % 1000003) * 40503 + share * 7919 + 12345) % 1000003) % groups
 
 
-def _group_col(x, groups: int):
-    return F.pmod(F.pmod(x * 40503 + 12345, F.lit(1000003)), F.lit(groups)).cast("int")
+def _group_col(x, share, groups: int):
+    return F.pmod(F.pmod(F.pmod(x, F.lit(1000003)) * 40503 + share * 7919 + 12345, F.lit(1000003)), F.lit(groups)).cast("int")
 
 
 def _giant_counts(known: DataFrame, giants: DataFrame, least: int, blocks: int) -> DataFrame:
@@ -138,7 +148,7 @@ def _giant_counts(known: DataFrame, giants: DataFrame, least: int, blocks: int)
     known = known.join(la, "a", "left").join(lb, "b", "left").withColumn("ga", F.coalesce("ga", none)).withColumn("gb", F.coalesce("gb", none))
     known = known.select("a", "b", "n", both.cast("bigint").alias("extra"))
     # block against block: an item goes to the cells of its row and column
-    base = lists.where(F.size("g") >= least).withColumn("k", _group_col(F.col("id"), blocks))
+    base = lists.where(F.size("g") >= least).withColumn("k", _group_col(F.col("id"), F.lit(0), blocks))
     cells = base.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("k", "o").alias("x"), F.greatest("k", "o").alias("y"), "k", "id", "g")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,11 +156,14 @@ def _giant_counts(known: DataFrame, giants: DataFrame, least: int, blocks: int)
         pdf = pdf.drop_duplicates("id")
         _, inv = np.unique(np.concatenate(list(pdf["g"])), return_inverse=True)
         rows = np.repeat(np.arange(len(pdf)), pdf["g"].map(len))
-        m = np.zeros((len(pdf), inv.max() + 1), "float32")
-        m[rows, inv] = 1
         k, ids = pdf["k"].to_numpy(), pdf["id"].to_numpy()
         ix, iy = np.flatnonzero(k == x), np.flatnonzero(k == y)
-        n = m[ix] @ m[iy].T
+        n = np.zeros((len(ix), len(iy)))
+        for c in range(0, inv.max() + 1, 4096):  # some giants at a time
+            some = (inv >= c) & (inv < c + 4096)
+            m = np.zeros((len(pdf), 4096), "float32")
+            m[rows[some], inv[some] - c] = 1
+            n += m[ix] @ m[iy].T
         i, j = np.nonzero(n >= least)
         a, b, c = ids[ix[i]], ids[iy[j]], n[i, j]
         keep = (a < b) if x == y else np.ones(len(a), bool)
@@ -163,10 +176,11 @@ def _giant_counts(known: DataFrame, giants: DataFrame, least: int, blocks: int)
 
 
 def cooccurrence(
-    incidence: DataFrame, basket: str, item: list[str], min_count: int = 6, min_lift: float = 4.0, heavy_share: float = HEAVY_SHARE, max_heavy: int = MAX_HEAVY, giant: int = GIANT, pairs_per_group: int = PAIRS_PER_GROUP
+    incidence: DataFrame, basket: str, item: list[str], min_count: int = 6, min_lift: float = 4.0, heavy_share: float = HEAVY_SHARE, max_heavy: int = MAX_HEAVY, giant: int = GIANT, pairs_per_group: int = PAIRS_PER_GROUP, shares: int | None = None
 ) -> DataFrame:
     """Pairs with n_ab >= min_count and n_ab * N >= min_lift * n_a * n_b.
 
+    ``shares`` is the number of parts a hot item may be cut into at most (four times the shuffle partitions).
     Result: the item columns with suffixes _1 and _2 (smaller item first), n_1, n_2, n_ab, n_baskets, lift.
     """
     spark = incidence.sparkSession
@@ -180,26 +194,30 @@ def cooccurrence(
         share *= 2
     heavy_if = F.col("cnt") >= max(share * baskets_n, min_count)
     heavy = dictionary.where(heavy_if).select(*item, F.col("id").alias("hid"))
-    light = dictionary.where(~heavy_if).select(*item, "id")
+    # an item with more than its part of the light incidences is shared by several groups
+    fair = max(float(min_count), (dictionary.where(~heavy_if).agg(F.sum("cnt")).first()[0] or 0) / (shares or 4 * partitions(spark)))
+    light = dictionary.where(~heavy_if).select(*item, "id", F.ceil(F.col("cnt") / fair).cast("long").alias("s"))
     # hot items meet a small table in place; only light ones are shuffled by item
     tagged = inc.join(F.broadcast(heavy), item, "left")
-    lights = tagged.where(F.col("hid").isNull()).drop("hid").join(light, item).select("basket", "id", F.lit(False).alias("hot"))
-    ids = cut(tagged.where(F.col("hid").isNotNull()).select("basket", F.col("hid").alias("id"), F.lit(True).alias("hot")).unionByName(lights), "coded")
+    lights = tagged.where(F.col("hid").isNull()).drop("hid").join(light, item).select("basket", "id", "s", F.lit(False).alias("hot"))
+    ids = cut(tagged.where(F.col("hid").isNotNull()).select("basket", F.col("hid").alias("id"), F.lit(1).cast("long").alias("s"), F.lit(True).alias("hot")).unionByName(lights), "coded")
     sizes = ids.where(~F.col("hot")).groupBy("basket").agg(F.count("*").alias("m"))
     big = cut(sizes.where(F.col("m") > giant).select("basket", F.monotonically_increasing_id().alias("gid")), "big")
     n_big = big.count()
     usual = ids.join(F.broadcast(big.select("basket")), "basket", "left_anti") if 0 < n_big <= 10_000 else ids.join(big.select("basket"), "basket", "left_anti") if n_big else ids
-    baskets = usual.groupBy("basket").agg(F.collect_list(F.when(~F.col("hot"), F.col("id"))).alias("l"), F.collect_list(F.when(F.col("hot"), F.col("id"))).alias("h"))
+    baskets = usual.groupBy("basket").agg(F.collect_list(F.when(~F.col("hot"), F.struct("id", "s"))).alias("l"), F.collect_list(F.when(F.col("hot"), F.col("id"))).alias("h"))
     if n_big:  # a giant keeps its heavy items (few) and probes its light ones in one-item visits below
-        hot_only = ids.where("hot").join(big, "basket", "left_semi").groupBy("basket").agg(F.array().cast("array<bigint>").alias("l"), F.collect_list("id").alias("h"))
+        hot_only = ids.where("hot").join(big, "basket", "left_semi").groupBy("basket").agg(F.array().cast("array<struct<id:bigint,s:bigint>>").alias("l"), F.collect_list("id").alias("h"))
         baskets = baskets.unionByName(hot_only)
-    baskets = cut(baskets.select("l", F.sort_array("h").alias("h")), "baskets")
+    baskets = cut(baskets.select(F.pmod(F.xxhash64("basket"), F.lit(1 << 20)).alias("salt"), "l", F.sort_array("h").alias("h")), "baskets")
     pairs_n = baskets.agg(F.sum(F.size("l").cast("double") * (F.size("l") - 1) / 2 + F.size("l") * F.size("h"))).first()[0] or 0
     groups = max(partitions(spark), int(pairs_n // pairs_per_group) + 1)
-    visits = baskets.where(F.size("l") > 0).withColumn("g", F.explode(F.array_distinct(F.transform("l", lambda x: _group_col(x, groups)))))
+    visits = baskets.where(F.size("l") > 0).withColumn("g", F.explode(F.array_distinct(F.transform("l", lambda x: _group_col(x["id"], F.pmod("salt", x["s"]), groups)))))
+    visits = visits.select("g", "salt", F.col("l.id").alias("l"), F.col("l.s").alias("s"), "h")
     if n_big:
         probe = ids.where(~F.col("hot")).join(big, "basket", "left_semi").join(hot_only.select("basket", "h"), "basket")
-        visits = visits.unionByName(probe.select(F.array("id").alias("l"), "h", _group_col(F.col("id"), groups).alias("g")))
+        salt = F.pmod(F.xxhash64("basket"), F.lit(1 << 20))
+        visits = visits.unionByName(probe.select(_group_col(F.col("id"), F.pmod(salt, F.col("s")), groups).alias("g"), salt.alias("salt"), F.array("id").alias("l"), F.array("s").alias("s"), "h"))
     least = min_count if not n_big else max(1, min_count - n_big)
     counted = _hash_counted(visits.repartitionById(groups, F.col("g")), groups, least)
     if n_big:

@@ -39,6 +39,15 @@ def test_cooccurrence(spark, giant, share):
     assert got == brute_pairs(rows, 4, 1.2)
 
 
+def test_a_hot_item_is_counted_by_several_groups(spark):
+    """One item in a tenth of the baskets: its owners share it, and the counts are those of brute force."""
+    rng = random.Random(3)
+    rows = [(f"b{k}", f"i{rng.randrange(300)}", 0) for k in range(1000) for _ in range(6)] + [(f"b{k}", "hot", 0) for k in range(0, 1000, 10)]
+    d = spark.createDataFrame(rows, "src string, name string, year int")
+    got = {(r["name_1"], r["year_1"], r["name_2"], r["year_2"], r["n_ab"]) for r in cooccur.cooccurrence(d, "src", ["name", "year"], 2, 1.0, heavy_share=0.5, pairs_per_group=200, shares=400).collect()}
+    assert got == brute_pairs(rows, 2, 1.0)
+
+
 def test_cooccurrence_with_clashing_names(spark):
     d = spark.createDataFrame([(b, i, "extra") for b in range(8) for i in ("x", "y")], "id int, basket string, cnt string")
     r = cooccur.cooccurrence(d, "id", ["basket"], 2, 0.5).collect()
