@@ -5,17 +5,37 @@ A null input gives null, or the neutral value named in the docstring.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from palimpsest.functions import patterns as P
 
 
+def _composed() -> dict[str, str]:
+    """Decomposed spelling of every Latin letter with marks that has a composed one."""
+    out = {}
+    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(code):
+            out[parts] = chr(code)
+    return out
+
+
+def composed(c: Column) -> Column:
+    """Latin letters followed by combining marks as one character each (NFC); texts without such marks pass as they are."""
+    table = F.create_map(*[F.lit(x) for kv in _composed().items() for x in kv])
+    letters = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)[^\u0300-\u036f][\u0300-\u036f]*|[\u0300-\u036f]+"), F.lit(0)), lambda x: F.when(F.length(x) > 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
+    return F.when(c.rlike(r"[\u0300-\u036f]"), F.array_join(letters, "")).otherwise(c)
+
+
 def normalise(c: Column) -> Column:
-    """Ligatures, quotes, dashes, odd spaces and zero-width marks to plain characters; runs of blanks collapse."""
-    c = F.translate(c, P.ONE_TO_ONE_FROM, P.ONE_TO_ONE_TO)
+    """Composed letters; ligatures, quotes, dashes, odd spaces and zero-width marks to plain characters; runs of blanks collapse."""
+    c = F.translate(composed(c), P.ONE_TO_ONE_FROM, P.ONE_TO_ONE_TO)
     for a, b in P.ONE_TO_MANY.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))
+    return F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r"^\s+|\s+$", "")
 
 
 def match_tokens(c: Column) -> Column:
@@ -32,6 +52,74 @@ def norm_title(c: Column) -> Column:
     return F.array_join(F.slice(F.filter(words, lambda x: F.length(x) > 2), 1, 8), " ")
 
 
+def mark_sentences(c: Column, mark: str = "\u0001") -> Column:
+    """The text with ``mark`` after each sentence end.
+
+    An end is a run of . ! ? with its closing quotes, followed by blanks and a capital or digit (one opening quote may stand
+    before it), unless an abbreviation, an initial or a number of up to three digits stands before it.
+    """
+    ends = F.regexp_replace(c, r"""([.!?]+["')\]’”]*)(\s+)(?=["'(\[‘“]?[\p{Lu}\p{Nd}])""", f"$1{mark}$2")
+    words = "|".join(sorted((re.escape(w) for w in P.ABBREVIATIONS), key=lambda w: (-len(w), w)))
+    close = rf"""(\s*[.!?]+["')\]’”]*){mark}"""
+    kept = F.regexp_replace(ends, rf"(?<![A-Za-z])(?<![A-Za-z]\.{{1,9}})((?i:{words})|[A-Za-z](?:\.[A-Za-z])?){close}", "$1$2")
+    return F.regexp_replace(kept, rf"((?:^|\s)\d{{1,3}}){close}", "$1$2")
+
+
+def sentences(c: Column) -> Column:
+    """The sentences of a text, in order, without blanks around; [] for null and blank texts."""
+    parts = F.transform(F.split(mark_sentences(F.coalesce(c, F.lit(""))), "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda x: x != "")
+
+
+def heading_boilerplate(c: Column) -> Column:
+    return F.coalesce(c.rlike(P.BOILERPLATE_HEADING), F.lit(False))
+
+
+def document_key(id_: Column) -> Column:
+    """A short key of a record: letters and digits of its id, and a digest that tells ids apart."""
+    return F.concat_ws("-", F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(id_, F.lit(""))), "[^a-z0-9]+", " ")), 1, 40), F.substring(F.sha2(F.coalesce(id_, F.lit("")), 256), 1, 8))
+
+
+def archive_number(id_: Column) -> Column:
+    """The number at the end of an archive id ``oai:host:number``; '' if there is none."""
+    return F.coalesce(F.regexp_extract(id_, r"^oai:[^:]+:(\d+)$", 1), F.lit(""))
+
+
+def number_text(c: Column) -> Column:
+    """A number as text, ten digits at most, no trailing zeros; '' for null, NaN and infinities."""
+    x = c.cast("double")
+    plain = F.format_string("%.10g", x)
+    plain = F.when(plain.contains(".") & ~plain.contains("e"), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(F.regexp_replace(plain, r"\.?0+e", "e"))
+    return F.when(c.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit("")).when(x == 0, F.lit("0")).otherwise(plain)
+
+
+def like_literal(c: Column) -> Column:
+    """A string as a LIKE pattern that matches nothing but itself (escape character a backslash)."""
+    return F.regexp_replace(c, r"([\\%_])", r"\\$1")
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th, 11th ..."""
+    end = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return F.concat(n.cast("string"), end)
+
+
+def plural(n: Column, one: str, many: str | None = None) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many or one + 's'}")))
+
+
+def markdown_literal(c: Column) -> Column:
+    """A string for a cell of a Markdown table: bars escaped, line ends as blanks."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\|"), r"[\r\n]+", " ")
+
+
+def html_literal(c: Column) -> Column:
+    """A string for HTML text and attributes."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != ""))
 

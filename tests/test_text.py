@@ -19,14 +19,50 @@ def test_match_tokens(spark, value, want):
 
 
 def test_normalise(spark):
-    assert one(spark, "ﬁne “text” – with odd…", T.normalise) == 'fine "text" - with odd...'
+    assert one(spark, "ﬁne “text” – with odd…", T.normalise) == 'fine "text" – with odd...'
 
 
-@pytest.mark.parametrize("value, want", [("3 Methodology", "method"), ("References", "references"), ("Discussion of Results", "discussion"), ("Something", "unclassified"), (None, "unclassified"), ("Appendix B: Results", "appendix")])
+@pytest.mark.parametrize("value, want", [("3 Methodology", "methodology"), ("References", "references"), ("Discussion of Results", "discussion"), ("Something", "unclassified"), (None, "unclassified"), ("Appendix B: Results", "appendix")])
 def test_heading_bucket(spark, value, want):
     assert one(spark, value, T.heading_bucket) == want
 
 
+@pytest.mark.parametrize("value, want", [("e\ufb03cient \ufb01nal", "efficient final"), ("\u201cquoted\u201d \u2018single\u2019", "\"quoted\" 'single'"), ("1990\u20132000 and dash \u2014 here", "1990\u20132000 and dash \u2013 here"), ("cafe\u0301 A\u030a", "caf\u00e9 \u00c5"), ("  a\u00a0\u00a0b ", "a b"), (None, None)])
+def test_normalise_shapes(spark, value, want):
+    assert one(spark, value, T.normalise) == want
+
+
+SENTENCES = [
+    ("Smith et al. found that it worked. The next claim follows.", 2), ("This holds, i.e. always. Then something else happens.", 2), ("See pp. 23-45. The argument resumes there.", 2),
+    ("Reported by Fairweather-Blake, P. A. Smith agreed with that.", 1), ("1. Introduction to the area. The topic is broad.", 2), ("It was published in 2009. The sequel came later.", 2),
+    ("Dr. Jones disagreed with that view entirely.", 1), ('He said "it works." "Then" she left.', 2), ("no capital. follows here", 1), ("", 0), (None, 0), ("A word in 12. Then more!  (Next) one?", 2),
+]
+
+
+@pytest.mark.parametrize("value, want", SENTENCES)
+def test_sentences(spark, value, want):
+    got = one(spark, value, T.sentences)
+    assert len(got) == want and " ".join(got).split() == (value or "").split()
+
+
+@pytest.mark.parametrize("value, want", [("CHAPTER TWO: LITERATURE REVIEW", "literature_review"), ("Chapter 6: Discussion and implications of research findings", "discussion"), ("Appendix 3: Findings tables", "appendix"), ("Some unusual chapter name", "unclassified")])
+def test_heading_bucket_earliest_wins(spark, value, want):
+    assert one(spark, value, T.heading_bucket) == want
+
+
+def test_sentence_flags(spark):
+    flag = lambda text, name: one(spark, text, lambda c: T.flags(c)[name])
+    assert flag("(Marchetti, 2004, p. 88)", "attribution") and flag("as Marchetti (2004) argued", "attribution") and not flag("the cohort numbered 2004 trainees", "attribution")
+    assert flag("Table 4.2 Distribution of responses", "caption") and flag("I hereby declare that this thesis is my own work.", "boilerplate")
+    assert one(spark, "This study examined 120 student teachers who were recruited from four schools.", T.directions) == ["own_participants", "own_study"]
+    assert one(spark, "The weather in April is variable.", T.directions) == []
+
+
+@pytest.mark.parametrize("value, want", [(0.1, "0.1"), (1e300, "1e+300"), (12345678.0, "12345678"), (1.5, "1.5"), (0.0, "0"), (None, ""), (float("nan"), ""), (float("inf"), ""), (100.0, "100"), (1 / 3, "0.3333333333")])
+def test_number_text(spark, value, want):
+    assert spark.createDataFrame([(value,)], "x double").select(T.number_text(F.col("x"))).first()[0] == want
+
+
 def test_error_signatures(spark):
     got = one(spark, "The the seperate thing ,then camelCase end- ing no;space !!", T.error_signatures)
     assert set(got) == {"doubled_word:the", "misspelling:seperate", "spaced_punct:,", "spaced_punct:!", "internal_caps:camelcase", "split_hyphen:end-ing", "missing_space:no;space", "doubled_punct:!"}
