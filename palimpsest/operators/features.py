@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions import patterns as P
@@ -89,3 +92,24 @@ def label_terms(docs: DataFrame, group: str, text: str, top: int = 3, least: int
     x = df.join(allc, "term").join(n, "g").where((F.col("df") >= least) & (F.col("df") >= share * F.col("n")))
     x = x.withColumn("score", F.round((F.col("df") / F.col("n")) / (F.col("all") / F.lit(float(max(total, 1))) + damp), 9))
     return x.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "term"))).where(F.col("place") <= top).select(F.col("g").alias("grp"), "term", "df", "place")
+
+
+def line_digests(rows: DataFrame, by: str, order: str, line: str) -> DataFrame:
+    """(by, signature, n): sha256 of a group's lines in order, joined by line ends; lines go by one at a time, no group is held."""
+    import hashlib
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest, n = None, None, 0
+        for pdf in batches:
+            for g, x in zip(pdf["g"], pdf["line"]):
+                if digest is None or g != now:
+                    if digest is not None:
+                        yield pd.DataFrame({by: [now], "signature": [digest.hexdigest()], "n": [n]})
+                    now, digest, n = g, hashlib.sha256(), 0
+                digest.update((("\n" if n else "") + x).encode())
+                n += 1
+        if digest is not None:
+            yield pd.DataFrame({by: [now], "signature": [digest.hexdigest()], "n": [n]})
+
+    x = rows.where(F.col(line).isNotNull()).select(F.col(by).alias("g"), F.col(order).alias("o"), F.col(line).alias("line"))
+    return x.repartition("g").sortWithinPartitions("g", "o", "line").mapInPandas(each, f"`{by}` string, signature string, n long")

@@ -69,9 +69,8 @@ def agg_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_signature(spark: SparkSession, d: str) -> DataFrame:
     """Digest per repository of its ordered (id, title length, abstract length) lines."""
-    x = table(spark, d, "docs").withColumn("line", F.concat_ws("|", "id", F.coalesce(F.length("title"), F.lit(0)).cast("string"), F.coalesce(F.length("abstract"), F.lit(0)).cast("string")))
-    line = F.struct("id", "line")
-    return x.groupBy("repo").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r["line"]), "\n"), 256).alias("signature"), F.count("*").alias("n"))
+    line = F.concat_ws("|", "id", F.coalesce(F.length("title"), F.lit(0)).cast("string"), F.coalesce(F.length("abstract"), F.lit(0)).cast("string"))
+    return X.line_digests(table(spark, d, "docs").select("repo", "id", line.alias("line")), "repo", "id", "line")
 
 
 def agg_route_shares(spark: SparkSession, d: str) -> DataFrame:

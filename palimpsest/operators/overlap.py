@@ -8,8 +8,9 @@ from pyspark.sql.types import IntegerType
 
 from palimpsest.functions.text import author_key, is_prose
 from palimpsest.operators.citations import token_set_ratio
+from palimpsest.plans.runtime import cut
 
-DF_SHARE, LEAST_SHARED, POSTING_CAP, LONG_RUN, GRAM = 0.004, 3, 40, 20, 8
+DF_SHARE, LEAST_SHARED, POSTING_CAP, LONG_RUN, GRAM, CELL = 0.004, 3, 40, 20, 8, 4096
 
 
 def document_frequency_cap(n_docs: int, share: float = DF_SHARE) -> int:
@@ -28,13 +29,30 @@ def candidates(fingerprints: DataFrame, n_docs: int, share: float = DF_SHARE, le
     return a.join(b, "g").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def matches(pairs: DataFrame, gram_rows: DataFrame) -> DataFrame:
-    """(a, b, pa, pb, rank): equal grams of each pair; rank numbers a gram's places in a."""
+def query_candidates(queries: DataFrame, fingerprints: DataFrame, n_docs: int, share: float = DF_SHARE, least: int = LEAST_SHARED) -> DataFrame:
+    """(q, doc_id, shared): records that share ``least`` fingerprints or more with a query record, common phrases left out as in ``candidates``."""
+    mine = queries.select(F.col("doc_id").alias("q"), "g")
+    near = fingerprints.join(mine.select("g").distinct(), "g", "left_semi")
+    rare = near.groupBy("g").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= document_frequency_cap(n_docs, share))).select("g")
+    hits = mine.join(near.join(rare, "g", "left_semi"), "g").where(F.col("q") != F.col("doc_id"))
+    return hits.groupBy("q", "doc_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def matches(pairs: DataFrame, gram_rows: DataFrame, cap: int = POSTING_CAP) -> DataFrame:
+    """(a, b, pa, pb, rank): equal grams of each pair on the diagonals that hold a seed; rank numbers a gram's places in a.
+
+    Seeds are matches of a gram's first ``cap`` places in a.  Its other places meet b only on those diagonals, place by
+    place, so a gram repeated over and over costs no product of its places.
+    """
     w = Window.partitionBy("doc_id", "g").orderBy("pos")
-    ranked = gram_rows.withColumn("rank", F.row_number().over(w))
+    of = lambda side: gram_rows.join(pairs.select(F.col(side).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ranked = of("a").withColumn("rank", F.row_number().over(w))
     a = ranked.select(F.col("doc_id").alias("a"), "g", F.col("pos").alias("pa"), "rank").join(pairs.select("a", "b"), "a")
-    b = gram_rows.select(F.col("doc_id").alias("b"), "g", F.col("pos").alias("pb"))
-    return a.join(b, ["b", "g"]).select("a", "b", "pa", "pb", "rank")
+    b = of("b").select(F.col("doc_id").alias("b"), "g", F.col("pos").alias("pb"))
+    seeds = cut(a.where(F.col("rank") <= cap).join(b, ["b", "g"]).select("a", "b", "pa", "pb", "rank"), "seeds")
+    diagonals = seeds.select("a", "b", (F.col("pa") - F.col("pb")).alias("d")).distinct()
+    more = a.where(F.col("rank") > cap).join(diagonals, ["a", "b"]).withColumn("pb", F.col("pa") - F.col("d"))
+    return seeds.unionByName(more.join(b, ["b", "pb", "g"], "left_semi").select("a", "b", "pa", "pb", "rank"))
 
 
 def maximal_runs(found: DataFrame, gram: int = GRAM, cap: int = POSTING_CAP) -> DataFrame:
@@ -71,10 +89,15 @@ def pair_summary(runs: DataFrame, sizes: DataFrame, long_run: int = LONG_RUN) ->
     return agg.join(cov, ["a", "b"]).join(n, "b").select("a", "b", "runs", "long_runs", "max_run", "matched_words", (F.col("matched_words") / F.greatest("_w", F.lit(1))).alias("share"))
 
 
+def _cells(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """A row per cell of CELL positions that [first, last] touches, so a range meets a stream by an equi-join."""
+    return df.withColumn("cell", F.explode(F.sequence(F.floor(first / CELL), F.floor(last / CELL))))
+
+
 def run_tokens(runs: DataFrame, stream: DataFrame) -> DataFrame:
     """Runs with ``toks``, their tokens read from b."""
-    s = stream.select(F.col("doc_id").alias("b"), "pos", "tok")
-    hit = runs.join(s, "b").where((F.col("pos") >= F.col("b0")) & (F.col("pos") < F.col("b1")))
+    s = stream.select(F.col("doc_id").alias("b"), "pos", "tok", F.floor(F.col("pos") / CELL).alias("cell"))
+    hit = _cells(runs, F.col("b0"), F.col("b1") - 1).join(s, ["b", "cell"]).where((F.col("pos") >= F.col("b0")) & (F.col("pos") < F.col("b1")))
     got = hit.groupBy("a", "b", "a0", "a1", "b0", "b1").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("t"))
     return got.withColumn("toks", F.transform("t", lambda x: x["tok"])).drop("t")
 
@@ -85,13 +108,21 @@ def prose_runs(runs: DataFrame, stream: DataFrame) -> DataFrame:
 
 
 def common_runs(runs: DataFrame, gram_rows: DataFrame, gram: int = GRAM) -> DataFrame:
-    """Runs every gram of which stands in one third record (relational division), as (a, b, a0, b0)."""
-    g = gram_rows.select(F.col("doc_id").alias("b"), "pos", "g")
-    need = runs.join(g, "b").where((F.col("pos") >= F.col("b0")) & (F.col("pos") <= F.col("b1") - gram)).select("a", "b", "a0", "b0", "g").distinct()
-    total = need.groupBy("a", "b", "a0", "b0").agg(F.count("*").alias("need"))
-    other = gram_rows.select(F.col("doc_id").alias("c"), "g").distinct()
-    got = need.join(other, "g").where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b"))).groupBy("a", "b", "a0", "b0", "c").agg(F.count("*").alias("got"))
-    return got.join(total, ["a", "b", "a0", "b0"]).where(F.col("got") == F.col("need")).select("a", "b", "a0", "b0").distinct()
+    """Runs every gram of which stands in one third record (relational division), as (a, b, a0, b0).
+
+    Third records are looked up by a run's rarest gram; only those are asked for the other grams.
+    """
+    run = ["a", "b", "a0", "b0"]
+    g = gram_rows.select(F.col("doc_id").alias("b"), "pos", "g", F.floor(F.col("pos") / CELL).alias("cell"))
+    need = _cells(runs, F.col("b0"), F.col("b1") - gram).join(g, ["b", "cell"]).where((F.col("pos") >= F.col("b0")) & (F.col("pos") <= F.col("b1") - gram)).select(*run, "g").distinct()
+    need = cut(need, "need")
+    other = gram_rows.join(need.select("g").distinct(), "g", "left_semi").select(F.col("doc_id").alias("c"), "g").distinct()
+    other = cut(other, "postings")
+    df = other.groupBy("g").agg(F.count("*").alias("df"))
+    asked = need.join(df, "g").groupBy(*run).agg(F.count("*").alias("need"), F.min(F.struct("df", "g")).alias("m")).where(F.col("m.df") > 2)
+    third = asked.select(*run, "need", F.col("m.g").alias("g")).join(other, "g").where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b"))).drop("g")
+    got = third.join(need, run).join(other, ["c", "g"]).groupBy(*run, "c").agg(F.count("*").alias("got"), F.max("need").alias("need"))
+    return got.where(F.col("got") == F.col("need")).select(*run).distinct()
 
 
 def verdict(same_author: Column, title_sim: Column, unique_runs: Column, max_run: Column) -> Column:

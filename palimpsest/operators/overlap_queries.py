@@ -44,13 +44,14 @@ def join_fp_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(g, rows.select("doc_id").distinct().count())
 
 
+QUERY_SET = r"try_cast(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0"
+
+
 def join_query_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-many screen: theses of one repository as queries against all others."""
-    _, g = _base(spark, d, "md5")
+    """One-to-many screen: theses with an id number divisible by 20 as queries against all, common phrases left out."""
+    rows, g = _base(spark, d, "md5")
     fp = S.winnow(g)
-    mine = fp.where(F.col("doc_id").contains("aldermoor"))
-    hits = mine.select(F.col("doc_id").alias("q"), "g").join(fp, "g").where(F.col("q") != F.col("doc_id"))
-    return hits.groupBy("q", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 3")
+    return O.query_candidates(fp.where(QUERY_SET), fp, rows.select("doc_id").distinct().count())
 
 
 def win_exact_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -89,10 +90,10 @@ def pipe_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipe_selfcheck(spark: SparkSession, d: str) -> DataFrame:
-    """Partners of every usable thesis of one repository, most long runs and shared words first, with a fate per pair."""
+    """Partners of every thesis with an id number divisible by 20, most long runs and shared words first, with a fate per pair."""
     v = pipe_verdicts(spark, d)
     both = v.unionByName(v.select(F.col("b").alias("a"), F.col("a").alias("b"), *v.columns[2:]))
-    mine = both.where(F.col("a").contains("aldermoor"))
+    mine = both.withColumn("doc_id", F.col("a")).where(QUERY_SET)
     w = Window.partitionBy("a").orderBy(F.desc("unique_max_run"), F.desc("unique_runs"), "b")
     return mine.select("a", "b", "unique_runs", "unique_max_run", "verdict", F.row_number().over(w).alias("place"))
 
@@ -122,7 +123,13 @@ def agg_partner_baseline(spark: SparkSession, d: str) -> DataFrame:
 def agg_percentile_of(spark: SparkSession, d: str) -> DataFrame:
     """Share of stored pairs with at most this share, in per cent."""
     p = table(spark, d, "pair").where("share is not null")
-    return p.select("a", "b", F.round(100 * F.cume_dist().over(Window.orderBy("share")), 6).alias("percentile"))
+    # counts per value, then running totals: within a cell, and over the 1,001 cells
+    hist = p.groupBy("share").agg(F.count("*").alias("c")).withColumn("cell", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "share")) * 1000))
+    inner = hist.withColumn("upto", F.sum("c").over(Window.partitionBy("cell").orderBy("share")))
+    cells = hist.groupBy("cell").agg(F.sum("c").alias("m"))
+    cells = cells.select("cell", (F.sum("m").over(Window.orderBy("cell")) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy()).alias("n"))
+    at = inner.join(F.broadcast(cells), "cell").select("share", F.round(100 * (F.col("before") + F.col("upto")) / F.col("n"), 6).alias("percentile"))
+    return p.join(at, "share").select("a", "b", "percentile")
 
 
 def top_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +178,7 @@ ORACLES = {
     "win_token_positions": _CTE + " SELECT doc_id, idx, base, len(k) AS n FROM p",
     "win_winnow_fingerprints": _CTE + " SELECT doc_id, count(*) AS fingerprints, min(g) AS least, max(g) AS most FROM f GROUP BY doc_id",
     "join_fp_candidates": _CTE + " SELECT a, b, shared FROM c",
-    "join_query_fingerprints": _CTE + " SELECT x.doc_id AS q, y.doc_id AS doc_id, count(*) AS shared FROM f x JOIN f y USING (g) WHERE x.doc_id LIKE '%aldermoor%' AND x.doc_id <> y.doc_id GROUP BY ALL HAVING count(*) >= 3",
+    "join_query_fingerprints": _CTE + " SELECT x.doc_id AS q, y.doc_id AS doc_id, count(*) AS shared FROM f x JOIN f y USING (g) JOIN u USING (g) WHERE try_cast(regexp_extract(x.doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0 AND x.doc_id <> y.doc_id GROUP BY ALL HAVING count(*) >= 3",
     "win_exact_runs": _RUNS + " SELECT a, b, a0, a1, b0, b1 FROM n",
     "agg_pair_summary": _RUNS + _SUM.format(n="n") + " " + _FIG.format(n="n"),
     "win_interval_union": _RUNS + _SUM.format(n="n") + " SELECT a, b, matched_words AS covered FROM v",

@@ -99,9 +99,10 @@ def compare_listing(listed: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def manifest(spark, folder: str) -> DataFrame:
-    """(path, sha256, bytes) of all files under a folder."""
+    """(path, sha256, bytes) of all files under a folder, paths relative to it."""
+    root = folder.rstrip("/").split("://")[-1].lstrip("/")
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return f.select(F.regexp_replace("path", r"^.*/", "").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return f.select(F.substring_index("path", f"{root}/", -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:

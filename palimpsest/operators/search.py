@@ -98,9 +98,14 @@ def resolve(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(value, match, tier): vocabulary words that fit best: equal, else beginning with it, else containing it; tier null for none."""
     v, m = F.lower("value"), F.lower("word")
     tier = F.when(m == v, 0).when(m.startswith(v), 1).when(m.contains(v), 2)
-    x = values.join(F.broadcast(vocabulary), tier.isNotNull(), "left").withColumn("tier", tier)
-    best = F.min("tier").over(Window.partitionBy("value"))
-    return x.withColumn("best", best).where(F.col("tier").eqNullSafe(F.col("best"))).select("value", F.col("word").alias("match"), "tier").distinct()
+    # a word that holds a value holds its first three letters (or the whole of a shorter one)
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(m) - n + 1, F.lit(1))), lambda i: F.substring(m, i, F.lit(n)))
+    pieces = F.array_distinct(F.concat(of(1), of(2), of(3)))
+    words = vocabulary.where(F.length("word") > 0).select("word").distinct().select("word", F.explode(pieces).alias("piece"))
+    asked = values.select("value").distinct()
+    hits = asked.where(F.length("value") > 0).withColumn("piece", F.substring(v, 1, 3)).join(words, "piece").withColumn("tier", tier).where(F.col("tier").isNotNull())
+    best = hits.groupBy("value").agg(F.min("tier").alias("tier"))
+    return asked.join(hits.join(best, ["value", "tier"], "left_semi").select("value", F.col("word").alias("match"), "tier").distinct(), "value", "left").select("value", "match", "tier")
 
 
 def fragment(text: Column, term: str, width: int = 14) -> Column:

@@ -104,23 +104,52 @@ def infer_home(neighbours: DataFrame, labels: DataFrame, probe: int = 25) -> Dat
     return v.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "label"))).where("rn = 1").drop("rn")
 
 
-def threshold_pairs(queries: DataFrame, vecs: DataFrame, key: str, vec: str, cutoff: float = 0.9) -> DataFrame:
-    """(a, b, sim): pairs of a query and another vector with similarity of at least ``cutoff`` at four places."""
-    a, b = queries.select(F.col(key).alias("a"), F.col(vec).alias("va")), vecs.select(F.col(key).alias("b"), F.col(vec).alias("vb"))
-    sim = F.round(dot(F.col("va"), F.col("vb")), 4)
-    slices = max(1, -(-a.count() // SLICE))
+def _against(small: DataFrame, big: DataFrame, key: str, vec: str, fn, schema: str) -> DataFrame:
+    """Rows of ``fn(ids, matrix, keys, vectors)`` for every batch of ``big`` and every slice of at most SLICE rows of ``small`` (id, v)."""
+    spark = big.sparkSession
+    small = small.where(F.col("v").isNotNull())
+    slices = max(1, -(-small.count() // SLICE))
+    rows = big.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).alias("v"))
     out = None
-    for i in range(slices):  # a slice of the queries at a time, so what is broadcast stays bounded
-        part = a.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == i)
-        got = b.join(F.broadcast(part), F.col("a") != F.col("b")).select("a", "b", sim.alias("sim")).where(F.col("sim") >= cutoff)
+    for i in range(slices):
+        part = (small if slices == 1 else small.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == i)).toPandas()
+        sent = spark.sparkContext.broadcast((part["id"].to_numpy(), _matrix(part["v"]) if len(part) else None))
+
+        def each(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, m = sent.value
+            for pdf in batches:
+                for k in range(0, len(pdf) if m is not None else 0, 2048):
+                    some = pdf.iloc[k : k + 2048]
+                    yield fn(ids, m, some["k"].to_numpy(), _matrix(some["v"]))
+
+        got = rows.mapInPandas(each, schema)
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def threshold_pairs(queries: DataFrame, vecs: DataFrame, key: str, vec: str, cutoff: float = 0.9) -> DataFrame:
+    """(a, b, sim): pairs of a query and another vector with similarity of at least ``cutoff`` at four places, by block products."""
+    def near(ids, m, keys, x):
+        sim = np.round(m @ x.T, 4)
+        i, j = np.nonzero(sim >= cutoff)
+        keep = ids[i] != keys[j]
+        return pd.DataFrame({"a": ids[i[keep]], "b": keys[j[keep]], "sim": sim[i[keep], j[keep]]})
+
+    t = dict(vecs.dtypes)[key]
+    return _against(queries.select(F.col(key).alias("id"), F.col(vec).alias("v")), vecs, key, vec, near, f"a {t}, b {t}, sim double")
+
+
 def nearest_label(vecs: DataFrame, key: str, vec: str, anchors: DataFrame, label: str, anchor_vec: str) -> DataFrame:
-    """(key, label, sim): the most similar anchor (a small fixed list), lowest label of equals."""
-    m = vecs.select(key, F.col(vec).alias("v")).join(F.broadcast(anchors.select(F.col(label).alias("label"), F.col(anchor_vec).alias("u"))))
-    return m.groupBy(key).agg(F.max(F.struct(F.round(dot(F.col("v"), F.col("u")), DP).alias("sim"), (-F.col("label")).alias("neg"))).alias("m")).select(key, (-F.col("m.neg")).alias("label"), "m.sim")
+    """(key, label, sim): the most similar anchor, lowest label of equals, by block products."""
+    def best(ids, m, keys, x):
+        order = np.argsort(ids, kind="stable")
+        sim = np.round(x @ m[order].T, DP)
+        at = sim.argmax(axis=1)
+        return pd.DataFrame({"key": keys, "label": ids[order][at], "sim": sim[np.arange(len(keys)), at]})
+
+    t, lt = dict(vecs.dtypes)[key], dict(anchors.dtypes)[label]
+    got = _against(anchors.select(F.col(label).alias("id"), F.col(anchor_vec).alias("v")), vecs, key, vec, best, f"key {t}, label {lt}, sim double")
+    return got.groupBy("key").agg(F.max("sim").alias("sim"), F.min_by("label", F.struct(-F.col("sim"), "label")).alias("label")).select(F.col("key").alias(key), "label", "sim")
 
 
 def mean_vectors(vecs: DataFrame, by: str, vec: str) -> DataFrame:

@@ -21,10 +21,10 @@ def ingest_once(rows: DataFrame, key: list[str], target: str, checkpoint: str, s
 
     def add(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            have = spark.read.parquet(target).select(*key)
-        except Exception:  # the first batch finds no table
-            have = None
+        # only a folder that is not there means a first batch; any error of reading stops the stream
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        have = spark.read.parquet(target).select(*key) if there else None
         fresh = batch.dropDuplicates(key)
         if have is not None:
             fresh = fresh.join(have, key, "left_anti")
