@@ -23,7 +23,7 @@ def test_records_of_a_planted_passage(spark):
     """Citation inside, next to and far from the passage; quoted on both sides; error carried over; distinct display words."""
     passage = "the questionaire returns of well-known wetlands were counted every single morning by trained volunteers near the river"
     filler = [f"Row {k} speaks of matter number {k} and nothing else at all." for k in range(12)]
-    a = ["This study began early."] + [passage.capitalize() + "."] + filler[:4]
+    a = ["This study began early.", passage.capitalize() + ".", "Nothing more follows."]
     rows = []
     for doc, text in (("a", a), ("in", [f"As Marchetti (2004) wrote, {passage}."] + filler), ("near", [passage + "."] + filler[:2] + ["See Marchetti for more."] + filler[3:]), ("far", [passage + "."] + filler[:8] + ["See Marchetti for more."])):
         rows += [(doc, i, t, [], 1, "", "results", "Results") for i, t in enumerate(text)]
