@@ -51,21 +51,22 @@ def moments(vecs: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, int]:
     return s, np.sum([np.asarray(x) for x in got["m"]], axis=0).reshape(len(s), len(s)) / n, n
 
 
-def top_k(queries: DataFrame, vecs: DataFrame, key: str, vec: str, k: int = 10, calibration: float = 0.0) -> DataFrame:
+def top_k(queries: DataFrame, vecs: DataFrame, key: str, vec: str, k: int = 10, calibration: float = 0.0, against: DataFrame | None = None) -> DataFrame:
     """(query, hit, sim, adj, place): the k best others of each query, by adjusted similarity at six places, ties by id.
 
     With ``calibration`` s the similarity is centred and divided by sd^s * mean(sd)^(1-s) of the hit's
     similarities to all vectors.  The query set is cut in slices of SLICE.
     """
     spark = vecs.sparkSession
-    mu, second, n = moments(vecs, vec) if calibration else (None, None, 0)
+    whole = vecs if against is None else against
+    mu, second, n = moments(whole, vec) if calibration else (None, None, 0)
     if calibration and n:
         def sd_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 x = _matrix(pdf["v"]) if len(pdf) else np.zeros((0, len(mu)))
                 yield pd.DataFrame({"sd": np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", x, second, x) - (x @ mu) ** 2, 1e-12))})
 
-        mean_sd = vecs.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).mapInPandas(sd_part, "sd double").agg(F.avg("sd")).first()[0]
+        mean_sd = whole.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).mapInPandas(sd_part, "sd double").agg(F.avg("sd")).first()[0]
     q = queries.where(F.col(vec).isNotNull()).select(F.col(key).alias("q"), F.col(vec).alias("v"))
     total = q.count()
     out = None
@@ -98,6 +99,17 @@ def top_k(queries: DataFrame, vecs: DataFrame, key: str, vec: str, k: int = 10,
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def rank(queries: DataFrame, vecs: DataFrame, key: str, vec: str, k: int = 10, where: Column | None = None, exclude: list = (), least: float = -1.0, calibration: float = 0.0) -> DataFrame:
+    """``top_k`` among the vectors that meet ``where`` (any condition on their columns), without the ids in ``exclude``, of at least similarity ``least``.
+
+    Calibration is by all vectors, whatever the filters.
+    """
+    some = vecs if where is None else vecs.where(where)
+    some = some.where(~F.col(key).isin(*exclude)) if exclude else some
+    got = top_k(queries, some, key, vec, k, calibration, against=vecs)
+    return got.where(F.col("sim") >= least)
+
+
 def infer_home(neighbours: DataFrame, labels: DataFrame, probe: int = 25) -> DataFrame:
     """(query, label, votes): plurality label of the ``probe`` nearest, ties by label; ``labels`` is (hit, label)."""
     v = neighbours.where(F.col("place") <= probe).join(labels, "hit").groupBy("query", "label").agg(F.count("*").alias("votes"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = [f"palimpsest.operators.{m}_queries" for m in ("skew", "text", "overlap", "matches", "graph", "features", "retrieval", "citations", "release")]
+MODULES = [f"palimpsest.operators.{m}_queries" for m in ("skew", "text", "overlap", "matches", "graph", "features", "retrieval", "study", "citations", "release")]
 FLAGSHIP = "agg_pair_summary"
 
 
