@@ -60,19 +60,8 @@ def column_figures(df: DataFrame, columns: list[str]) -> DataFrame:
     return agg.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def longest_runs(values: DataFrame, texts: DataFrame) -> DataFrame:
-    """(value_id, doc_id, run): longest common stretch of tokens of a value and a text.
-
-    Both are (id, pos, tok) streams; equal tokens are joined, those on one diagonal form islands.
-    """
-    m = values.select("value_id", F.col("pos").alias("pv"), "tok").join(texts.select("doc_id", F.col("pos").alias("pt"), "tok"), "tok")
-    w = Window.partitionBy("value_id", "doc_id", "d").orderBy("pt")
-    isl = m.withColumn("d", F.col("pv") - F.col("pt")).withColumn("i", F.col("pt") - F.row_number().over(w))
-    return isl.groupBy("value_id", "doc_id", "d", "i").agg(F.count("*").alias("run")).groupBy("value_id", "doc_id").agg(F.max("run").alias("run"))
-
-
 def seeded_runs(values: DataFrame, texts: DataFrame, least: int = 5) -> DataFrame:
-    """(value_id, doc_id, run) as longest_runs, for runs of ``least`` tokens or more over whole texts.
+    """(value_id, doc_id, run): longest common stretch of tokens of a value and a text, of ``least`` tokens or more, over whole texts.
 
     Grams of ``least`` tokens are joined instead of single tokens; those on one diagonal form islands.  Both sides are
     (doc_id, pos, tok) streams.

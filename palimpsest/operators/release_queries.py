@@ -22,9 +22,9 @@ def release_column_figures(spark: SparkSession, d: str) -> DataFrame:
 
 def release_longest_run(spark: SparkSession, d: str) -> DataFrame:
     """Longest stretch each work title shares with the title of each thesis, of five words or more."""
-    v = table(spark, d, "work").select(F.col("key").alias("value_id"), F.posexplode(match_tokens(F.col("title"))).alias("pos", "tok"))
-    t = table(spark, d, "docs").select("docid", F.posexplode(match_tokens(F.col("title"))).alias("pos", "tok")).withColumnRenamed("docid", "doc_id")
-    return R.longest_runs(v, t).where("run >= 5")
+    words = lambda df, key: df.select(F.col(key).cast("string").alias("doc_id"), F.posexplode(match_tokens(F.col("title"))).alias("pos", "tok")).distinct()
+    runs = R.seeded_runs(words(table(spark, d, "work"), "key"), words(table(spark, d, "docs"), "docid"))
+    return runs.select("value_id", F.col("doc_id").cast("long").alias("doc_id"), "run")
 
 
 def release_longest_run_text(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from palimpsest.plans.runtime import partitions
+from palimpsest.plans.runtime import cut, partitions
 
 BUCKETS_PER_TASK = 32
 _TASK, _SHARD, _SHARDS, _FIRST = "__fr_task", "__fr_shard", "__fr_shards", "__fr_first"
@@ -71,6 +71,7 @@ def plan_load(counts: DataFrame, keys: Sequence[str], rows: str = "rows", tasks:
     spark, keys = counts.sparkSession, list(keys)
     tasks = tasks or partitions(spark)
     buckets = tasks * BUCKETS_PER_TASK
+    counts = cut(counts.select(*keys, rows), "counts")  # counted once, read three times
     total = counts.agg(F.sum(rows)).first()[0] or 0
     share = max(1, math.ceil(total / tasks))
     big = [r for r in counts.where(F.col(rows) > share).collect()]  # fewer than `tasks` keys can exceed total / tasks
@@ -126,9 +127,17 @@ def replicate(df: DataFrame, plan: LoadPlan) -> DataFrame:
     return _to_task(df, plan, F.coalesce(F.col(_FIRST) + F.col(_SHARD), _bucket(plan.keys, plan.buckets)))
 
 
+def join_loads(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, rows): what a key costs its tasks: its left rows, once per matching row; nulls and keys without a match cost their rows."""
+    per = left.groupBy(*keys).agg(F.count("*").alias("__l"))
+    other = right.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("__r"))
+    return per.join(other, list(keys), "left").select(*keys, (F.col("__l") * F.greatest(F.coalesce("__r", F.lit(1)), F.lit(1))).alias("rows"))
+
+
 def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", tasks: int | None = None, plan: LoadPlan | None = None) -> DataFrame:
     """``left`` join ``right`` on ``keys`` without a straggler; ``left`` is the side with hot keys.
 
+    A key's load is its left rows times its matching rows, so a key with many matches is cut as well.
     ``how`` is inner, left, left_semi or left_anti (each left row meets all its matches in
     one shard, so these stay exact).  Columns of ``right`` other than the keys that clash
     with columns of ``left`` get the prefix ``right_``.
@@ -136,7 +145,7 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: s
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     keys = list(keys)
-    plan = plan or plan_load(left.groupBy(*keys).agg(F.count("*").alias("rows")), keys, tasks=tasks)
+    plan = plan or plan_load(join_loads(left, right, keys), keys, tasks=tasks)
     clash = [c for c in right.columns if c not in keys and c in left.columns]
     for c in clash:
         right = right.withColumnRenamed(c, f"right_{c}")
