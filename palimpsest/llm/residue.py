@@ -62,7 +62,12 @@ _SHORT = re.compile("|".join(rf"\b{p}\b" for p in MESSAGES + FILLER))
 _KEYBOARD = re.compile("asdf|qwer|zxcv|hjkl")
 _WORD = re.compile(r"[^\W\d_]+")
 # a slot needs one of these; most passages have none and are done
-_HINT = re.compile(r"[{}<>$%@#_\[\]«»…]|\.{6}|null|undefined|NaN|None|N/A|XXXX|TBC|TODO|TBA|0000-00-00|1970-01-01")
+_HINT_MARKS = re.compile(r"[{}<>$%@#_\[\]«»…]")
+_HINT_WORDS = ("null", "undefined", "NaN", "None", "N/A", "XXXX", "TBC", "TODO", "TBA", "0000-00-00", "1970-01-01", "......")
+
+
+def _hint(passage: str) -> bool:
+    return _HINT_MARKS.search(passage) is not None or any(w in passage for w in _HINT_WORDS)
 
 
 def passages(text: str) -> list[str]:
@@ -73,13 +78,15 @@ def trusted(passage: str) -> bool:
     """A passage of one of the trusted shapes."""
     low = passage.lower()
     words = _WORD.findall(low)
-    if len(words) >= 5 and sum(w[:4] in LATIN for w in words) >= 0.5 * len(words):
-        return True
-    if len(words) >= 6 and len(set(words)) <= len(words) / 3:  # the same few words over and over
-        return True
-    if len(words) <= ALONE and (_STATUS.search(low) or _SHORT.search(low) or _KEYBOARD.search(low)) or len(words) <= 2 * ALONE and _TRACE.search(low):
+    if len(words) >= 5:
+        some = set(words)
+        if len(some) <= len(words) / 3 and len(words) >= 6:  # the same few words over and over
+            return True
+        if len([w for w in words if w[:4] in LATIN]) >= 0.5 * len(words):
+            return True
+    if len(words) <= ALONE and (_STATUS.search(low) or _SHORT.search(low) or _KEYBOARD.search(low)) or len(words) <= 2 * ALONE and " on line " in low and _TRACE.search(low):
         return True
-    if not _HINT.search(passage):
+    if not _hint(passage):
         return False
     if _MARKUP.match(passage):
         return True
@@ -103,7 +110,7 @@ def features(ps: list[str], record: np.ndarray) -> list[np.ndarray]:
     toks: list[list[str]] = []
     for p in ps:
         found, body = [], p
-        if _HINT.search(p):
+        if _hint(p):
             found = [f"\x01{k}" for k, r in _SLOT.items() if r.search(p)]
             for k, r in _SLOT.items():
                 body = r.sub(f" \x01{k} ", body)
