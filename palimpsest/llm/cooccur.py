@@ -26,6 +26,7 @@ count once; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,8 +77,8 @@ def _heavy_pairs(baskets: DataFrame) -> DataFrame:
     return baskets.where(F.size("h") > 1).select("h").mapInPandas(count, _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _hash_counted(visits: DataFrame, groups: int, least: int) -> DataFrame:
-    """Visits (g, l, h): counts of light pairs owned by the group, and of its light items with heavy ones."""
+def _hash_counted(visits: DataFrame, groups: int, least: int, split: bool) -> DataFrame:
+    """Visits (g, l, h), if items are split also (salt, s): counts of light pairs owned by the group, and of its light items with heavy ones."""
 
     def merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         c, n = np.concatenate(codes), np.concatenate(counts)
@@ -90,15 +91,18 @@ def _hash_counted(visits: DataFrame, groups: int, least: int) -> DataFrame:
         codes, counts, size = [], [], 0
         for pdf in batches:
             out = []
-            for g, salt, light, splits, heavy in zip(pdf["g"].to_numpy(), pdf["salt"].to_numpy(), pdf["l"], pdf["s"], pdf["h"]):
-                order = np.argsort(light, kind="stable")
-                light, splits = np.asarray(light, "int64")[order], np.asarray(splits, "int64")[order]
+            for g, salt, light, splits, heavy in zip(pdf["g"].to_numpy(), pdf["salt"].to_numpy() if split else itertools.repeat(0), pdf["l"], pdf["s"] if split else itertools.repeat(None), pdf["h"]):
+                if split:
+                    order = np.argsort(light, kind="stable")
+                    light, splits = np.asarray(light, "int64")[order], np.asarray(splits, "int64")[order]
+                else:
+                    light = np.sort(np.asarray(light, "int64"))
                 heavy = np.asarray(heavy, "int64")
                 local = np.fromiter((ids.setdefault(int(x), len(ids)) for x in (*light, *heavy)), "int64", len(light) + len(heavy))
-                own = np.flatnonzero(_group_of(light, salt % splits, groups) == g)
+                own = np.flatnonzero(_group_of(light, salt % splits if split else 0, groups) == g)
                 n = len(light)
                 if len(own):
-                    if (splits[own] > 1).any():
+                    if split and (splits[own] > 1).any():
                         shared.update(local[own][splits[own] > 1].tolist())
                     i = np.repeat(own, n - 1 - own)
                     if len(i):
@@ -120,12 +124,14 @@ def _hash_counted(visits: DataFrame, groups: int, least: int) -> DataFrame:
         if codes:
             names = np.array(list(ids), "int64")
             u, c = merge(codes, counts)
-            part = np.isin(u >> 32, np.fromiter(shared, "int64", len(shared)))
+            part = np.isin(u >> 32, np.fromiter(shared, "int64", len(shared))) if shared else np.zeros(len(u), bool)
             keep = part | (c >= least)
             u, c, part = u[keep], c[keep], part[keep]
             yield _emit(names[u >> 32], names[u & 0xFFFFFFFF], c).assign(part=part)
 
     got = visits.mapInPandas(count, f"{_PAIR}, part boolean")
+    if not split:
+        return got.select("a", "b", "n")
     added = got.where("part").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return got.where(~F.col("part")).select("a", "b", "n").unionByName(added)
 
@@ -186,7 +192,7 @@ def cooccurrence(
     spark = incidence.sparkSession
     names, item = item, [f"__{c}" for c in item]  # no clash with the columns made here
     inc = cut(incidence.select(F.col(basket).alias("basket"), *[F.col(c).alias(f"__{c}") for c in names]).dropna().distinct(), "incidence")
-    baskets_n, inc_n = inc.agg(F.count_distinct("basket"), F.count("*")).first()
+    baskets_n = inc.agg(F.count_distinct("basket")).first()[0]
     dictionary = cut(inc.groupBy(*item).agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count).withColumn("id", F.monotonically_increasing_id()), "items")
     # a share that leaves at most max_heavy heavy items; everything else is light
     share = heavy_share
@@ -197,6 +203,7 @@ def cooccurrence(
     # an item with more than its part of the light incidences is shared by several groups
     fair = max(float(min_count), (dictionary.where(~heavy_if).agg(F.sum("cnt")).first()[0] or 0) / (shares or 4 * partitions(spark)))
     light = dictionary.where(~heavy_if).select(*item, "id", F.ceil(F.col("cnt") / fair).cast("long").alias("s"))
+    split = (light.agg(F.max("s")).first()[0] or 1) > 1
     # hot items meet a small table in place; only light ones are shuffled by item
     tagged = inc.join(F.broadcast(heavy), item, "left")
     lights = tagged.where(F.col("hid").isNull()).drop("hid").join(light, item).select("basket", "id", "s", F.lit(False).alias("hot"))
@@ -213,13 +220,14 @@ def cooccurrence(
     pairs_n = baskets.agg(F.sum(F.size("l").cast("double") * (F.size("l") - 1) / 2 + F.size("l") * F.size("h"))).first()[0] or 0
     groups = max(partitions(spark), int(pairs_n // pairs_per_group) + 1)
     visits = baskets.where(F.size("l") > 0).withColumn("g", F.explode(F.array_distinct(F.transform("l", lambda x: _group_col(x["id"], F.pmod("salt", x["s"]), groups)))))
-    visits = visits.select("g", "salt", F.col("l.id").alias("l"), F.col("l.s").alias("s"), "h")
+    shape = ["g", "salt", "l", "s", "h"] if split else ["g", "l", "h"]
+    visits = visits.select("g", "salt", F.col("l.id").alias("l"), F.col("l.s").alias("s"), "h").select(*shape)
     if n_big:
         probe = ids.where(~F.col("hot")).join(big, "basket", "left_semi").join(hot_only.select("basket", "h"), "basket")
         salt = F.pmod(F.xxhash64("basket"), F.lit(1 << 20))
-        visits = visits.unionByName(probe.select(_group_col(F.col("id"), F.pmod(salt, F.col("s")), groups).alias("g"), salt.alias("salt"), F.array("id").alias("l"), F.array("s").alias("s"), "h"))
+        visits = visits.unionByName(probe.select(_group_col(F.col("id"), F.pmod(salt, F.col("s")), groups).alias("g"), salt.alias("salt"), F.array("id").alias("l"), F.array("s").alias("s"), "h").select(*shape))
     least = min_count if not n_big else max(1, min_count - n_big)
-    counted = _hash_counted(visits.repartitionById(groups, F.col("g")), groups, least)
+    counted = _hash_counted(visits.repartitionById(groups, F.col("g")), groups, least, split)
     if n_big:
         counted = _giant_counts(counted, ids.where(~F.col("hot")).join(big, "basket").select("id", F.col("gid").alias("basket")), min_count, max(1, int((dictionary.count() // 2048)) + 1))
     pairs = _heavy_pairs(baskets).unionByName(counted).where(F.col("n") >= min_count)
