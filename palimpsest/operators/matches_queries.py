@@ -119,7 +119,18 @@ def pipe_focal(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(run_band(F.col("a1") - F.col("a0")).alias("band")).agg(F.count("*").alias("runs"), F.count("third").alias("in_third"), F.count_distinct("a", "b").alias("pairs"))
 
 
-QUERIES = {f.__name__: f for f in (match_spans, match_citations, match_quoted, match_records, agg_pair_analysis, agg_pair_buckets, agg_author_mentions, match_fates, agg_filter_tally, win_distinct_passages, top_fragments, top_partners, win_highlights, join_without_self, pipe_focal)}
+def pipe_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Every screened pair after all tests: runs by fate, figures of the kept ones, and the verdict."""
+    f = _fates(spark, d)
+    n = F.col("b1") - F.col("b0")
+    kept = F.col("fate") == "kept"
+    g = f.groupBy("a", "b").agg(*[F.count_if(F.col("fate") == x).alias(f"{x}_runs") for x in ("artefact", "common", "quoted")], F.count_if(kept).alias("unique_runs"), F.count_if(kept & (n >= O.LONG_RUN)).alias("unique_long_runs"), F.coalesce(F.max(F.when(kept, n)), F.lit(0)).alias("unique_max_run"))
+    words = O.union_length(f.where(kept), ["a", "b"], "b0", "b1").withColumnRenamed("covered", "unique_words")
+    x = g.join(words, ["a", "b"], "left").fillna(0, ["unique_words"]).join(O.same_people(g.select("a", "b"), table(spark, d, "doc")), ["a", "b"])
+    return x.withColumn("verdict", O.verdict(F.col("same_author"), F.col("title_sim"), F.col("unique_runs"), F.col("unique_max_run")))
+
+
+QUERIES = {f.__name__: f for f in (match_spans, match_citations, match_quoted, match_records, agg_pair_analysis, agg_pair_buckets, agg_author_mentions, match_fates, agg_filter_tally, win_distinct_passages, top_fragments, top_partners, win_highlights, join_without_self, pipe_focal, pipe_verify)}
 
 _TEXT = ", tx AS (SELECT doc_id, idx, min(coalesce(text, '')) AS text FROM sentences WHERE len(excl) = 0 GROUP BY ALL)"
 _WORDS = f"""{_TEXT}, w0 AS (SELECT p.doc_id, p.idx, p.base, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM p JOIN tx USING (doc_id, idx)),
@@ -158,3 +169,7 @@ ORACLES["agg_pair_analysis"] = (
  FROM l JOIN mw USING (a, b) JOIN ic USING (b) JOIN al USING (b) JOIN (SELECT a, b, count(*) FILTER (citation = 'attributed') AS attributed, count(*) FILTER (citation LIKE 'adj%') AS adjacent, count(*) FILTER (citation = 'unattributed') AS unattributed FROM ct GROUP BY ALL) USING (a, b)
  JOIN (SELECT a, b, count(*) FILTER (regexp_matches(text_a, '(?i)\\b(this|the present|the current)\\s+(doctoral\\s+|research\\s+|empirical\\s+)?(thesis|study|research|investigation|enquiry|inquiry|project|dissertation)\\b')) AS directed, 0 AS with_errors FROM sp GROUP BY ALL) USING (a, b)"""
 )
+ORACLES["win_highlights"] = _RUNS + """, en AS (SELECT b, b0 AS p0 FROM n UNION SELECT b, b1 FROM n), pa AS (SELECT b, p0, lead(p0) OVER (PARTITION BY b ORDER BY p0) AS upto FROM en), hi AS (SELECT pa.b, p0, upto, array_to_string(list_sort(list_distinct(list(n.a))), ' ') AS ids FROM pa JOIN n ON n.b = pa.b AND n.b0 <= p0 AND n.b1 >= upto GROUP BY pa.b, p0, upto),
+ jo AS (SELECT *, CASE WHEN lag(upto) OVER w = p0 AND lag(ids) OVER w = ids THEN 0 ELSE 1 END AS fresh FROM hi WINDOW w AS (PARTITION BY b ORDER BY p0)), gr AS (SELECT *, sum(fresh) OVER (PARTITION BY b ORDER BY p0 ROWS UNBOUNDED PRECEDING) AS g FROM jo) SELECT b, min(p0) AS start, max(upto) AS "end", any_value(ids) AS ids FROM gr GROUP BY b, g"""
+ORACLES["agg_author_mentions"] = "WITH tx AS (SELECT doc_id, (min({'t': coalesce(text, ''), 'p': page, 'q': printed, 'b': bucket})) AS m FROM sentences GROUP BY doc_id, idx)" + _SURNAME + """, x AS (SELECT pair.a, pair.b, m.p AS page, coalesce(m.b = 'references', false) AS ref, len(regexp_extract_all(m.t, '\\b' || surname || '\\b')) AS n FROM pair JOIN sn USING (a) JOIN tx ON tx.doc_id = pair.b WHERE surname <> '')
+ SELECT a, b, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (ref), 0)::BIGINT AS in_references, count(DISTINCT page) FILTER (n > 0) AS pages FROM x GROUP BY a, b"""

@@ -148,4 +148,7 @@ ORACLES = {
     "site_payload": "WITH r AS (SELECT repo, row_number() OVER (ORDER BY repo) - 1 AS repo_no FROM (SELECT DISTINCT repo FROM docs WHERE repo IS NOT NULL)), f AS (SELECT discipline, row_number() OVER (ORDER BY discipline) - 1 AS discipline_no FROM (SELECT DISTINCT discipline FROM docs WHERE discipline IS NOT NULL)) SELECT docid, repo_no, discipline_no, year FROM docs LEFT JOIN r USING (repo) LEFT JOIN f USING (discipline)",
     "top_sorted": "SELECT docid, words, year FROM docs WHERE words IS NOT NULL ORDER BY words DESC, year DESC NULLS LAST, docid LIMIT 20",
     "stride_sample": "WITH r AS (SELECT docid, row_number() OVER (ORDER BY docid) - 1 AS rn, (SELECT greatest(1, count(*) // 25) FROM docs) AS s FROM docs) SELECT docid FROM r WHERE rn % s = 0 AND rn < 25 * s",
+    "vec_nearest_label": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label), c AS (SELECT label, list(x / norm ORDER BY i) AS c FROM m JOIN n USING (label) GROUP BY label), s AS (SELECT vec_id, c.label, round(list_dot_product(embedding::DOUBLE[], c.c), 6) AS sim FROM embeddings e, c) SELECT vec_id, label::INT AS label, round(sim, 4) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) = 1",
+    "fts_fragment": r"""WITH w AS (SELECT docid, string_split_regex(coalesce(abstract, ''), '\s+') AS w FROM docs), a AS (SELECT docid, w, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), 'markets') AS hit FROM w), s AS (SELECT *, greatest(1, hit - 7) AS s FROM a WHERE hit > 0)
+ SELECT docid, CASE WHEN s > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(w[s:s + 13], lambda x: CASE WHEN regexp_replace(lower(x), '[^a-z0-9]', '', 'g') = 'markets' THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN s + 14 <= len(w) THEN ' …' ELSE '' END AS fragment FROM s""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import features as X, graph as G, search as R, study as Y, vectors as V
-from palimpsest.operators.features_queries import LABELS, LEXICON, SHORT
+from palimpsest.operators.features_queries import _DISC, _METH, LABELS, LEXICON, SHORT
 from palimpsest.operators.graph_queries import _E, _docs, _edges, _fields
 from palimpsest.operators.text_queries import _sq
 from palimpsest.plans.runtime import cut, table
@@ -276,3 +276,11 @@ ORACLES = {
  SELECT doc_id, reason, count(*) AS n FROM r GROUP BY ALL""",
     "txt_boilerplate_headings": r"SELECT DISTINCT heading, regexp_matches(heading, '(?i)(declaration|acknowledgement|acknowledgment|dedication|copyright|statement of originality|intellectual property|table of contents|^\s*contents\s*$|list of (?:tables|figures|abbreviations|appendices|acronyms)|^\s*abbreviations\s*$|glossary|ethics statement|ethical approval|statement of ethics|ethical clearance|ethics form)')::INT AS boilerplate FROM sentences WHERE heading IS NOT NULL",
 }
+_FL = "fl AS (SELECT id AS src, lower(trim(discipline)) AS field FROM docs WHERE trim(discipline) <> '' AND lower(trim(discipline)) <> 'unknown')"
+_DL = "dl AS (SELECT * FROM doc WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(harvested_at, TIMESTAMP '1970-01-01') DESC, coalesce(title, '') DESC) = 1)"
+ORACLES |= {
+    "graph_methods": _METH + f", {_FL}, n AS (SELECT field, count(DISTINCT src) AS n FROM fl GROUP BY 1), kk AS (SELECT field, label, count(DISTINCT src) AS k FROM fl JOIN mf ON mf.doc_id = fl.src WHERE n > 0 GROUP BY ALL) SELECT field, label, round(100 * k / n, 1) AS weight FROM kk JOIN n USING (field) WHERE k / n >= 0.02",
+    "agg_method_periods": _METH + f", {_DL} SELECT label, year // 5 * 5 AS period, count(*) AS theses, round(avg((n > 0)::INT), 6) AS prevalence FROM mf JOIN dl ON dl.id = mf.doc_id WHERE year IS NOT NULL GROUP BY ALL HAVING count(*) >= 20",
+    "agg_discourse_fields": _DISC + f", {_FL} SELECT field, count(*) AS n, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ("mean_sentence_len", "lexical_density", "flesch", "hedges_per1k", "boosters_per1k", "passive_per1k", "nominal_per1k")) + " FROM disc JOIN fl ON fl.src = disc.doc_id GROUP BY field HAVING count(*) >= 20",
+    "vec_encode_long": "WITH x AS (SELECT vec_id // 5 AS rec, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT rec, i, avg(x) AS x FROM x GROUP BY ALL), n AS (SELECT rec, sqrt(sum(x * x)) AS norm FROM m GROUP BY rec), c AS (SELECT vec_id // 5 AS rec, count(*) AS n FROM embeddings GROUP BY 1) SELECT rec, c.n AS n, round(x / norm, 5) AS first FROM m JOIN n USING (rec) JOIN c USING (rec) WHERE i = 1",
+}

@@ -205,4 +205,6 @@ ORACLES = {
  f AS (SELECT doc_id, heading, min(idx) AS idx, arg_min(page, idx) AS page FROM s WHERE length(heading) BETWEEN 4 AND 90 AND NOT regexp_matches(heading, '(?i)^\s*(\d+|[ivxlcdm]+|page\s*\d+|table|figure|appendix)\s*$') AND NOT regexp_matches(heading[1:1], '[a-z]') AND (doc_id, page) NOT IN (SELECT (doc_id, page) FROM busy) GROUP BY ALL),
  m AS (SELECT *, max(page) OVER (PARTITION BY doc_id ORDER BY idx, heading) AS reach FROM f),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, heading) AS rn FROM m WHERE page = reach) SELECT doc_id, heading, page, rn FROM r WHERE rn <= 28""",
+    "txt_author_key": f"WITH f AS (SELECT docid, trim(split_part(coalesce(creator, ''), ';', 1)) AS f, trim(regexp_replace({_FIRST.replace('creator', 'creator')}, '[ \\t]+', ' ', 'g')) AS s FROM docs), w AS (SELECT *, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS w FROM f), k AS (SELECT *, contains(s, ',') AS c FROM w), p AS (SELECT *, CASE WHEN c THEN regexp_replace(split_part(s, ',', 1), '\\s+', '', 'g') ELSE coalesce(w[-1], '') END AS sur, CASE WHEN c THEN regexp_replace(s, '^[^,]*,', '') ELSE array_to_string(w[1:-2], ' ') END AS rest FROM k) SELECT docid, CASE WHEN sur <> '' THEN sur || '|' || substr(trim(rest), 1, 1) ELSE '' END AS author, regexp_replace(CASE WHEN contains(f, ',') THEN trim(split_part(f, ',', 1)) ELSE coalesce(list_filter(string_split_regex(f, '\\s+'), lambda x: x <> '')[-1], '') END, '[^A-Za-z''’-]', '', 'g') AS surname FROM p",
+    "txt_heading_bucket": "WITH h AS (SELECT DISTINCT heading, lower(heading) AS l FROM sentences WHERE heading IS NOT NULL), e AS (SELECT heading, l, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(l, {_sq(rx)}) THEN {{'at': length(regexp_extract(l, {_sq('^(.*?)(?:' + rx + ')')}, 1)), 'k': {k}, 'name': {_sq(n)}}} END" for k, (n, rx) in enumerate(P.CHAPTERS)) + "], lambda x: x IS NOT NULL) AS spots FROM h) SELECT heading, CASE " + " ".join(f"WHEN regexp_matches(l, {_sq(rx)}) THEN {_sq(n)}" for n, rx in P.STRUCTURAL) + " ELSE coalesce(list_sort(spots)[1].name, 'unclassified') END AS kind FROM e",
 }
