@@ -22,10 +22,11 @@ def _surnames(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "doc")).select(F.col("id").alias("doc_id"), T.surname_of(F.col("creator")).alias("surname"))
 
 
-def _spans(spark: SparkSession, d: str):
-    rows, g, _, runs = _runs(spark, d, "md5")
+def _spans(spark: SparkSession, d: str, whole: bool = False):
+    rows, g, _, runs = _runs(spark, d, "md5", whole)
     texts = _texts(spark, d)
-    words = cut(M.display_words(rows, texts), "words")
+    met = runs.select(F.col("a").alias("doc_id")).unionByName(runs.select(F.col("b").alias("doc_id"))).distinct()
+    words = cut(M.display_words(rows.join(met, "doc_id", "left_semi"), texts), "words")
     return rows, g, runs, texts, words, cut(M.sides(runs, words), "spans")
 
 
@@ -71,7 +72,7 @@ def agg_author_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fates(spark: SparkSession, d: str):
-    rows, g, runs, texts, words, spans = _spans(spark, d)
+    rows, g, runs, texts, words, spans = _spans(spark, d, whole=True)
     prose = O.prose_runs(runs, S.token_stream(rows))
     return cut(M.fates(runs, runs.join(prose, ["a", "b", "a0", "b0"], "left_anti"), O.common_runs(runs, g), M.quoted_runs(spans, texts)), "fates")
 
@@ -112,7 +113,7 @@ def join_without_self(spark: SparkSession, d: str) -> DataFrame:
 
 def pipe_focal(spark: SparkSession, d: str) -> DataFrame:
     """Runs of the theses with an id number divisible by 20, by band, and how many of them stand in a third thesis."""
-    _, g, _, runs = _runs(spark, d, "md5")
+    _, g, _, runs = _runs(spark, d, "md5", whole=True)
     mine = runs.withColumn("doc_id", F.col("a")).where(QUERY_SET).drop("doc_id").unionByName(runs.withColumn("doc_id", F.col("b")).where(QUERY_SET).drop("doc_id")).distinct()
     common = O.common_runs(mine, g).withColumn("third", F.lit(1))
     x = mine.join(common, ["a", "b", "a0", "b0"], "left")

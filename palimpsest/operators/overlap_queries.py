@@ -10,23 +10,30 @@ from palimpsest.operators.text_queries import sql_tokens
 from palimpsest.plans.runtime import cut, table
 
 
-def _base(spark: SparkSession, d: str, digest: str = "xxhash64") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(token rows, grams, pairs with runs): grams and rows are written once and read by all that follows."""
-    rows = cut(S.token_rows(table(spark, d, "sentences")), "rows")
-    return rows, cut(S.grams(S.token_stream(rows), O.GRAM, digest), "grams")
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return cut(S.token_rows(table(spark, d, "sentences")), "rows")
+
+
+def _grams(rows: DataFrame, digest: str) -> DataFrame:
+    return S.grams(S.token_stream(rows), O.GRAM, digest)
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(F.size("toks")).alias("words"))
 
 
-def _candidates(g: DataFrame, n: int) -> DataFrame:
-    return O.candidates(S.winnow(g), n)
+def _count(rows: DataFrame) -> int:
+    return rows.select("doc_id").distinct().count()
 
 
-def _runs(spark: SparkSession, d: str, digest: str = "xxhash64"):
-    rows, g = _base(spark, d, digest)
-    pairs = cut(_candidates(g, rows.select("doc_id").distinct().count()), "candidates")
+def _runs(spark: SparkSession, d: str, digest: str = "xxhash64", whole: bool = False):
+    """(token rows, grams, candidates, runs).  Fingerprints, not grams, are written for all records; grams are kept for the
+    records of some pair, and of all records only where third ones are asked for (``whole``)."""
+    rows = _rows(spark, d)
+    every = cut(_grams(rows, digest), "grams") if whole else _grams(rows, digest)
+    pairs = cut(O.candidates(cut(S.winnow(every), "fingerprints"), _count(rows)), "candidates")
+    met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    g = every if whole else cut(_grams(rows.join(met, "doc_id", "left_semi"), digest), "grams")
     return rows, g, pairs, cut(O.maximal_runs(O.matches(pairs, g)), "runs")
 
 
@@ -35,13 +42,12 @@ def win_token_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win_winnow_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    _, g = _base(spark, d, "md5")
-    return S.winnow(g).groupBy("doc_id").agg(F.count("*").alias("fingerprints"), F.min("g").alias("least"), F.max("g").alias("most"))
+    return S.winnow(_grams(S.token_rows(table(spark, d, "sentences")), "md5")).groupBy("doc_id").agg(F.count("*").alias("fingerprints"), F.min("g").alias("least"), F.max("g").alias("most"))
 
 
 def join_fp_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows, g = _base(spark, d, "md5")
-    return _candidates(g, rows.select("doc_id").distinct().count())
+    rows = _rows(spark, d)
+    return O.candidates(cut(S.winnow(_grams(rows, "md5")), "fingerprints"), _count(rows))
 
 
 QUERY_SET = r"try_cast(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0"
@@ -49,9 +55,9 @@ QUERY_SET = r"try_cast(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 =
 
 def join_query_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """One-to-many screen: theses with an id number divisible by 20 as queries against all, common phrases left out."""
-    rows, g = _base(spark, d, "md5")
-    fp = S.winnow(g)
-    return O.query_candidates(fp.where(QUERY_SET), fp, rows.select("doc_id").distinct().count())
+    rows = _rows(spark, d)
+    fp = cut(S.winnow(_grams(rows, "md5")), "fingerprints")
+    return O.query_candidates(fp.where(QUERY_SET), fp, _count(rows))
 
 
 def win_exact_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +75,7 @@ def agg_run_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_third_document(spark: SparkSession, d: str) -> DataFrame:
-    _, g, _, runs = _runs(spark, d, "md5")
+    _, g, _, runs = _runs(spark, d, "md5", whole=True)
     return O.common_runs(runs, g)
 
 
@@ -81,7 +87,7 @@ def pipe_rescore(spark: SparkSession, d: str) -> DataFrame:
 
 def pipe_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Verdict of every screened pair: unique runs are those no third record explains."""
-    rows, g, pairs, runs = _runs(spark, d, "md5")
+    rows, g, pairs, runs = _runs(spark, d, "md5", whole=True)
     prose = O.prose_runs(runs, S.token_stream(rows))
     uniq = prose.join(O.common_runs(prose, g), ["a", "b", "a0", "b0"], "left_anti")
     fig = uniq.groupBy("a", "b").agg(F.count("*").alias("unique_runs"), F.max(F.col("a1") - F.col("a0")).alias("unique_max_run"))
