@@ -176,3 +176,14 @@ def test_work_titles_meet_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id string, idx int, text string, excl array<string>").write.parquet(f"{tmp_path}/sentences.parquet")
     got = {tuple(r) for r in Q.release_longest_run_text(spark, str(tmp_path)).collect()}
     assert got == {("w1", "d1", 5), ("w1", "d2", 8)}
+
+
+def test_no_entry_is_cut_between_parts(spark):
+    """Entries over several rows, parts of three rows: the same references as in one part."""
+    rows = []
+    for k in range(9):
+        rows += [f"Smith{chr(97 + k)}, J. ({1990 + k})", f"A theory of things number {chr(97 + k)} and more.", "Oxford: Press."]
+    s = spark.createDataFrame([("d", i, x, [], "references") for i, x in enumerate(rows)], "doc_id string, idx int, text string, excl array<string>, bucket string")
+    found = lambda n: sorted(map(tuple, C.parse_author_date(C.reference_blobs(s, n)).collect()))
+    assert found(4) == found(10_000) and len(found(4)) == 9
+    assert C.reference_blobs(s, 4).count() > 1
