@@ -179,10 +179,22 @@ def is_prose(tokens: Column) -> Column:
     return (n > 0) & (single / F.greatest(n, F.lit(1)) <= 0.30) & (F.size(F.filter(tokens, lambda x: F.length(x) >= 4)) >= need)
 
 
-def run_band(n: Column) -> Column:
+def is_prose_run(tokens: Column) -> Column:
+    """The plain test: at most 30 % one-letter tokens and five of four letters or more, however short the run."""
+    n = F.size(tokens)
+    single = F.size(F.filter(tokens, lambda x: F.length(x) == 1))
+    return (n > 0) & (single / F.greatest(n, F.lit(1)) <= 0.30) & (F.size(F.filter(tokens, lambda x: F.length(x) >= 4)) >= 5)
+
+
+# lower ends of run lengths and their labels: of the pair tables, and of the check of one record against all
+BANDS = ((50, "50+"), (30, "30-49"), (20, "20-29"), (16, "16-19"), (12, "12-15"), (8, "8-11"))
+FOCAL_BANDS = ((30, "30-999"), (20, "20-29"), (16, "16-19"), (12, "12-15"), (8, "8-11"))
+
+
+def run_band(n: Column, bands: tuple[tuple[int, str], ...] = BANDS) -> Column:
     """Length band of a shared run."""
-    out = F.when(n >= 50, "50+")
-    for lo, name in ((30, "30-49"), (20, "20-29"), (16, "16-19"), (12, "12-15"), (8, "8-11")):
+    out = F.when(n >= bands[0][0], bands[0][1])
+    for lo, name in bands[1:]:
         out = out.when(n >= lo, name)
     return out.otherwise("no match")
 
@@ -211,6 +223,21 @@ def landing_url(id_: Column, landing: Column, pdf_url: Column) -> Column:
     return F.coalesce(F.when(host != "", F.concat(F.lit("https://"), host, F.lit("/id/eprint/"), num, F.lit("/"))), F.when(rec != "", F.concat(rec, F.lit("/"))), F.nullif(landing, F.lit("")), F.nullif(pdf_url, F.lit("")), F.lit(""))
 
 
+def landing_of_search(id_: Column, landing: Column, pdf_url: Column) -> Column:
+    """As ``landing_url`` without the guess from the file's URL: the archive id, else what is stored."""
+    rx = r"^oai:([^:]+):(\d+)$"
+    host, num = F.regexp_extract(id_, rx, 1), F.regexp_extract(id_, rx, 2)
+    return F.coalesce(F.when(host != "", F.concat(F.lit("https://"), host, F.lit("/id/eprint/"), num, F.lit("/"))), F.nullif(F.trim(landing), F.lit("")), F.nullif(F.trim(pdf_url), F.lit("")), F.lit(""))
+
+
+def landing_of_release(repo: Column, id_: Column, templates: dict[str, str]) -> Column:
+    """A page from a repository's template, with {n} for the archive number; '' where either is missing."""
+    n, out = archive_number(id_), F.lit(None).cast("string")
+    for name, t in templates.items():
+        out = F.when(repo == name, F.replace(F.lit(t), F.lit("{n}"), n)).otherwise(out)
+    return F.when((n != "") & out.isNotNull(), out).otherwise("")
+
+
 def work_key(doi: Column, surname: Column, year: Column, title: Column) -> Column:
     joined = F.concat_ws("|", F.coalesce(surname, F.lit("")), F.coalesce(year.cast("string"), F.lit("")), F.lower(F.substring(F.coalesce(title, F.lit("")), 1, 80)))
     return F.when(F.coalesce(doi, F.lit("")) != "", doi).otherwise(joined)

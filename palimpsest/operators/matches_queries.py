@@ -117,7 +117,28 @@ def pipe_focal(spark: SparkSession, d: str) -> DataFrame:
     mine = runs.withColumn("doc_id", F.col("a")).where(QUERY_SET).drop("doc_id").unionByName(runs.withColumn("doc_id", F.col("b")).where(QUERY_SET).drop("doc_id")).distinct()
     common = O.common_runs(mine, g).withColumn("third", F.lit(1))
     x = mine.join(common, ["a", "b", "a0", "b0"], "left")
-    return x.groupBy(run_band(F.col("a1") - F.col("a0")).alias("band")).agg(F.count("*").alias("runs"), F.count("third").alias("in_third"), F.count_distinct("a", "b").alias("pairs"))
+    return x.groupBy(run_band(F.col("a1") - F.col("a0"), T.FOCAL_BANDS).alias("band")).agg(F.count("*").alias("runs"), F.count("third").alias("in_third"), F.count_distinct("a", "b").alias("pairs"))
+
+
+def win_barrier_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal runs that bridge no row left out: a gap in the rows parts the stream."""
+    rows = cut(S.token_rows(table(spark, d, "sentences"), barriers=True), "rows")
+    g = cut(S.grams(S.token_stream(rows), O.GRAM, "md5"), "grams")
+    pairs = cut(O.candidates(cut(S.winnow(g), "fingerprints"), rows.select("doc_id").distinct().count()), "candidates")
+    return O.maximal_runs(O.matches(pairs, g))
+
+
+def txt_prose_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per thesis that read as prose by the plain test."""
+    s = table(spark, d, "sentences").select("doc_id", "idx", "text").distinct()
+    return s.groupBy("doc_id").agg(F.count_if(T.is_prose_run(T.match_tokens(F.col("text")))).alias("prose"), F.count("*").alias("n"))
+
+
+def txt_landings(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of theses as the search and the release name them."""
+    x = latest(table(spark, d, "doc"))
+    made = {"aldermoor": "https://aldermoor.example/{n}", "kestrelton": "https://kestrelton.example/item/{n}/"}
+    return x.select("id", T.landing_of_search(F.col("id"), F.col("landing"), F.col("pdf_url")).alias("search"), T.landing_of_release(F.col("repo"), F.col("id"), made).alias("release"))
 
 
 def pipe_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +152,7 @@ def pipe_verify(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("verdict", O.verdict(F.col("same_author"), F.col("title_sim"), F.col("unique_runs"), F.col("unique_max_run")))
 
 
-QUERIES = {f.__name__: f for f in (match_spans, match_citations, match_quoted, match_records, agg_pair_analysis, agg_pair_buckets, agg_author_mentions, match_fates, agg_filter_tally, win_distinct_passages, top_fragments, top_partners, win_highlights, join_without_self, pipe_focal, pipe_verify)}
+QUERIES = {f.__name__: f for f in (match_spans, match_citations, match_quoted, match_records, agg_pair_analysis, agg_pair_buckets, agg_author_mentions, match_fates, agg_filter_tally, win_distinct_passages, top_fragments, top_partners, win_highlights, join_without_self, pipe_focal, pipe_verify, win_barrier_runs, txt_prose_runs, txt_landings)}
 
 _TEXT = ", tx AS (SELECT doc_id, idx, min(coalesce(text, '')) AS text FROM sentences WHERE len(excl) = 0 GROUP BY ALL)"
 _WORDS = f"""{_TEXT}, w0 AS (SELECT p.doc_id, p.idx, p.base, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM p JOIN tx USING (doc_id, idx)),
@@ -159,7 +180,7 @@ ORACLES = {
     "top_partners": _RUNS + _FATES + """, both_ways AS (SELECT a, b, a0, a1 FROM fa WHERE fate = 'kept' UNION ALL SELECT b, a, b0, b1 FROM fa WHERE fate = 'kept'), ex AS (SELECT a, b, count(DISTINCT w) AS words_kept FROM (SELECT a, b, unnest(range(a0::BIGINT, a1::BIGINT)) AS w FROM both_ways) GROUP BY ALL),
  pl AS (SELECT a, b, count(*) FILTER (a1 - a0 >= 20) AS long_kept, any_value(words_kept) AS words_kept FROM both_ways JOIN ex USING (a, b) GROUP BY a, b) SELECT *, row_number() OVER (PARTITION BY a ORDER BY long_kept DESC, words_kept DESC, b) AS place FROM pl""",
     "join_without_self": "WITH ld AS (SELECT id, nullif(sha256, '') AS sha FROM doc QUALIFY row_number() OVER (PARTITION BY id ORDER BY harvested_at DESC) = 1) SELECT a, b FROM pair LEFT JOIN ld x ON x.id = a LEFT JOIN ld y ON y.id = b WHERE NOT coalesce(x.sha = y.sha, false)",
-    "pipe_focal": _RUNS + ", mi AS (SELECT * FROM n WHERE try_cast(regexp_extract(a, '([0-9]+)$', 1) AS BIGINT) % 20 = 0 OR try_cast(regexp_extract(b, '([0-9]+)$', 1) AS BIGINT) % 20 = 0)" + _COMMON.format(n="mi") + f" SELECT {_BANDS.format(x='(a1 - a0)')} AS band, count(*) AS runs, count(*) FILTER ((a, b, a0, b0) IN (SELECT (a, b, a0, b0) FROM com)) AS in_third, count(DISTINCT (a, b)) AS pairs FROM mi GROUP BY 1",
+    "pipe_focal": _RUNS + ", mi AS (SELECT * FROM n WHERE try_cast(regexp_extract(a, '([0-9]+)$', 1) AS BIGINT) % 20 = 0 OR try_cast(regexp_extract(b, '([0-9]+)$', 1) AS BIGINT) % 20 = 0)" + _COMMON.format(n="mi") + f" SELECT {_BANDS.format(x='(a1 - a0)').replace("WHEN (a1 - a0) >= 50 THEN '50+' ", '').replace('30-49', '30-999')} AS band, count(*) AS runs, count(*) FILTER ((a, b, a0, b0) IN (SELECT (a, b, a0, b0) FROM com)) AS in_third, count(DISTINCT (a, b)) AS pairs FROM mi GROUP BY 1",
 }
 ORACLES["agg_pair_analysis"] = (
     _RUNS + _WORDS + _SURNAME + _CITED + f""", l AS (SELECT a, b, list_sort(list(b1 - b0)) AS l FROM n GROUP BY ALL), mw AS (SELECT a, b, count(DISTINCT (idx, k)) AS matched_words FROM cb GROUP BY ALL), ic AS (SELECT doc_id AS b, sum(len(k))::BIGINT AS included FROM r GROUP BY 1),
@@ -174,3 +195,9 @@ ORACLES["win_highlights"] = _RUNS + """, en AS (SELECT b, b0 AS p0 FROM n UNION
  jo AS (SELECT *, CASE WHEN lag(upto) OVER w = p0 AND lag(ids) OVER w = ids THEN 0 ELSE 1 END AS fresh FROM hi WINDOW w AS (PARTITION BY b ORDER BY p0)), gr AS (SELECT *, sum(fresh) OVER (PARTITION BY b ORDER BY p0 ROWS UNBOUNDED PRECEDING) AS g FROM jo) SELECT b, min(p0) AS start, max(upto) AS "end", any_value(ids) AS ids FROM gr GROUP BY b, g"""
 ORACLES["agg_author_mentions"] = "WITH tx AS (SELECT doc_id, (min({'t': coalesce(text, ''), 'p': page, 'q': printed, 'b': bucket})) AS m FROM sentences GROUP BY doc_id, idx)" + _SURNAME + """, x AS (SELECT pair.a, pair.b, m.p AS page, coalesce(m.b = 'references', false) AS ref, len(regexp_extract_all(m.t, '\\b' || surname || '\\b')) AS n FROM pair JOIN sn USING (a) JOIN tx ON tx.doc_id = pair.b WHERE surname <> '')
  SELECT a, b, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (ref), 0)::BIGINT AS in_references, count(DISTINCT page) FILTER (n > 0) AS pages FROM x GROUP BY a, b"""
+_P = "p AS (SELECT doc_id, idx, k, (sum(len(k)) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - len(k))::BIGINT AS base FROM r)"
+_PB = "r1 AS (SELECT *, CASE WHEN lag(idx) OVER (PARTITION BY doc_id ORDER BY idx) <> idx - 1 THEN 64 ELSE 0 END AS gap FROM (SELECT doc_id, idx, min(k) AS k FROM r GROUP BY ALL)), p AS (SELECT doc_id, idx, k, (sum(len(k) + gap) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - len(k))::BIGINT AS base FROM r1)"
+ORACLES["win_barrier_runs"] = _RUNS.replace(_P, _PB).replace("WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE l IS NOT NULL", "WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE l = pos + 7").replace("SELECT doc_id, min({'g': g, 'p': -pos})", "SELECT doc_id, pos, min({'g': g, 'p': -pos})").replace("AS l FROM g) WHERE l IS NOT NULL", "AS l FROM g) WHERE l = pos + 12") + " SELECT a, b, a0, a1, b0, b1 FROM n"
+ORACLES["txt_prose_runs"] = f"WITH t AS (SELECT doc_id, {sql_tokens('text')} AS k FROM (SELECT DISTINCT doc_id, idx, text FROM sentences)) SELECT doc_id, count(*) FILTER (len(k) > 0 AND len(list_filter(k, lambda x: length(x) = 1)) / greatest(len(k), 1) <= 0.30 AND len(list_filter(k, lambda x: length(x) >= 4)) >= 5) AS prose, count(*) AS n FROM t GROUP BY doc_id"
+_OAI = "'^oai:([^:]+):(\\d+)$'"
+ORACLES["txt_landings"] = f"WITH ld AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY id ORDER BY harvested_at DESC) = 1) SELECT id, CASE WHEN regexp_matches(id, {_OAI}) THEN 'https://' || regexp_extract(id, {_OAI}, 1) || '/id/eprint/' || regexp_extract(id, {_OAI}, 2) || '/' ELSE coalesce(nullif(trim(landing), ''), nullif(trim(pdf_url), ''), '') END AS search, CASE WHEN NOT regexp_matches(id, {_OAI}) THEN '' WHEN repo = 'aldermoor' THEN 'https://aldermoor.example/' || regexp_extract(id, {_OAI}, 2) WHEN repo = 'kestrelton' THEN 'https://kestrelton.example/item/' || regexp_extract(id, {_OAI}, 2) || '/' ELSE '' END AS release FROM ld"
