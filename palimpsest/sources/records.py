@@ -94,6 +94,19 @@ def valid_pdfs(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("valid"))
 
 
+def pdf_pages(content: Column) -> Column:
+    """Number of page objects of a PDF that are not packed in object streams."""
+    return F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+
+
+def expected_pages(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """Files (path, content) with ``pages``; a PDF whose page count is not the one expected (path, expected_pages) stops the job."""
+    x = files.join(expected, "path", "left").withColumn("pages", pdf_pages(F.col("content")))
+    wrong = F.col("expected_pages").isNotNull() & (F.col("pages") != F.col("expected_pages"))
+    stop = F.raise_error(F.concat(F.lit("unexpected number of pages in "), "path")).cast("int")
+    return x.withColumn("pages", F.when(wrong, stop).otherwise(F.col("pages"))).drop("expected_pages")
+
+
 def write_csv(df: DataFrame, path: str, order: list[str], gzip: bool = False) -> None:
     """One file per range of the total order ``order``, LF line ends: the same rows give the same bytes."""
     w = df.orderBy(*order).write.mode("errorifexists").option("header", True).option("lineSep", "\n")

@@ -187,3 +187,40 @@ def test_no_entry_is_cut_between_parts(spark):
     found = lambda n: sorted(map(tuple, C.parse_author_date(C.reference_blobs(s, n)).collect()))
     assert found(4) == found(10_000) and len(found(4)) == 9
     assert C.reference_blobs(s, 4).count() > 1
+
+
+def test_oai_chains(spark, tmp_path):
+    """Pages by tokens, several chains at once; a token given twice is an error."""
+    from palimpsest.sources import oai
+
+    for name, n in (("a", 3), ("b", 1)):
+        d = tmp_path / name
+        d.mkdir()
+        for k in range(n):
+            token = f"<resumptionToken>t{k + 1}</resumptionToken>" if k + 1 < n else "<resumptionToken/>"
+            (d / f"{'t' + str(k) if k else 'first'}.xml").write_text(f"<r>{name}{k}</r>{token}")
+    spark.dataSource.register(oai.OaiDataSource)
+    got = spark.read.format("oai").option("folders", f"{tmp_path}/a,{tmp_path}/b").load()
+    assert sorted((r["source"][-1], r["page"], r["xml"][3:5]) for r in got.collect()) == [("a", 0, "a0"), ("a", 1, "a1"), ("a", 2, "a2"), ("b", 0, "b0")]
+    assert spark.read.format("oai").option("folders", f"{tmp_path}/a").option("max_pages", 2).load().count() == 2
+    with pytest.raises(ValueError, match="twice"):
+        list(oai.follow(lambda token: "<resumptionToken>x</resumptionToken>"))
+
+
+def test_pdf_pages(spark):
+    pdf = b"%PDF-1.4 1 0 obj << /Type /Pages /Count 2 >> endobj << /Type /Page /Parent 1 >> << /Type/Page >> \xff"
+    f = spark.createDataFrame([("x.pdf", bytearray(pdf)), ("y.pdf", None)], "path string, content binary")
+    e = spark.createDataFrame([("x.pdf", 2)], "path string, expected_pages int")
+    assert {r["path"]: r["pages"] for r in X.expected_pages(f, e).collect()} == {"x.pdf": 2, "y.pdf": None}
+    with pytest.raises(Exception, match="unexpected number of pages"):
+        X.expected_pages(f, spark.createDataFrame([("x.pdf", 3)], "path string, expected_pages int")).collect()
+
+
+def test_gz_csv_is_the_same_every_time(spark, tmp_path):
+    """No time stands in the header of the packed files, and the same rows give the same bytes."""
+    d = spark.createDataFrame([(k, f"v{k % 7}") for k in range(50)], "k int, v string")
+    packs = []
+    for name in ("p", "q"):
+        X.write_csv(d, f"{tmp_path}/{name}", ["v", "k"], gzip=True)
+        packs.append([f.read_bytes() for f in sorted((tmp_path / name).glob("*.gz"))])
+    assert packs[0] == packs[1] and all(b[4:8] == bytes(4) for b in packs[0])
