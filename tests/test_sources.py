@@ -224,3 +224,15 @@ def test_gz_csv_is_the_same_every_time(spark, tmp_path):
         X.write_csv(d, f"{tmp_path}/{name}", ["v", "k"], gzip=True)
         packs.append([f.read_bytes() for f in sorted((tmp_path / name).glob("*.gz"))])
     assert packs[0] == packs[1] and all(b[4:8] == bytes(4) for b in packs[0])
+
+
+def test_large_keys_cluster_as_small_ones_do(spark):
+    import random
+
+    rng = random.Random(5)
+    words = "theory wetland birds rivers policy market school law study history method field growth change".split()
+    rows = [(f"s{k}", rng.choice(["smith", "jones"]), 1990, " ".join(rng.sample(words, rng.randrange(1, 6)))) for k in range(300)]
+    rows += [(f"q{k}", "smith", 1990, t) for k, t in enumerate(["theori wetland birds", "wetland theory birds", "", None, "rivers"])]
+    d = spark.createDataFrame(rows, "src string, surname string, year int, title string")
+    whole, parts = (sorted(map(tuple, C.title_clusters(d, per_key=n).collect())) for n in (10_000, 10))
+    assert whole == parts and len({r[4] for r in whole}) > 5
