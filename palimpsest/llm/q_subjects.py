@@ -15,7 +15,10 @@ def _subjects(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
     rows = table(spark, sf_dir, "subject").where(F.col("subject").isNotNull()).orderBy("subject").limit(MAX_SUBJECTS + 1).collect()  # a fixed list
     if len(rows) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
-    return [(r["subject"], r["descr"] or "") for r in rows]
+    once: dict[str, tuple[str, str]] = {}
+    for r in rows:  # a subject listed twice counts once
+        once.setdefault(r["subject"].strip().lower(), (r["subject"], r["descr"] or ""))
+    return list(once.values())
 
 
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

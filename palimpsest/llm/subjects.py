@@ -315,6 +315,8 @@ def fit(docs: DataFrame, subject_rows: list[tuple[str, str]], columns: tuple[str
     vocab = vocabulary(prepared, max(n, 1))
     vecs = cut(vectors(prepared, vocab, n), "vectors")
     subjects = [s.strip().lower() for s, _ in subject_rows]
+    if len(set(subjects)) < len(subjects):
+        raise ValueError("a subject is listed twice")
     tree = bisect(vecs, len(vocab), n)
     leaves, terms, hints = leaf_statistics(vecs, tree, len(vocab), subjects)
     return vecs, vocab, tree, leaves, terms, hints, subjects
