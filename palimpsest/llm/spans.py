@@ -199,7 +199,7 @@ def shared_windows(sentences: DataFrame) -> DataFrame:
     return every.join(_in_many(every, ["d1", "d2"]), ["d1", "d2"], "left_semi")
 
 
-def _meet(left: DataFrame, right: DataFrame, key: list[str], block: int = PER_BLOCK) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, key: list[str], block: int = PER_BLOCK) -> DataFrame:
     """Equi-join in which the rows of a hot key meet block against block, so no task holds all pairs of one key."""
     size = right.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     if not (hot := size.where("blocks > 1")).take(1):
@@ -221,7 +221,7 @@ def sharing_pairs(windows: DataFrame) -> DataFrame:
     chosen = sign.groupBy("n", "x", "s").agg(F.min(F.struct("d1", "d2")).alias("d")).select("d.d1", "d.d2")
     members = cut(once.join(chosen, ["d1", "d2"], "left_semi"), "members")
     a, b = members.withColumnRenamed("doc", "a"), members.withColumnRenamed("doc", "b")
-    return _meet(a, b, ["d1", "d2"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return meet(a, b, ["d1", "d2"]).where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
 def removable_spans(windows: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def pair_figures(rows: DataFrame, at: DataFrame) -> DataFrame:
     """
     x = at.select("d1", "d2", F.col("doc").alias("a"), F.col("pos").alias("pa"))
     y = at.select("d1", "d2", F.col("doc").alias("b"), F.col("pos").alias("pb"))
-    met = _meet(x, y, ["d1", "d2"]).where(F.col("a") < F.col("b")).select("a", "b", "pa", "pb").withColumn("diag", F.col("pa") - F.col("pb"))
+    met = meet(x, y, ["d1", "d2"]).where(F.col("a") < F.col("b")).select("a", "b", "pa", "pb").withColumn("diag", F.col("pa") - F.col("pb"))
     w = Window.partitionBy("a", "b", "diag").orderBy("pb")
     runs = met.withColumn("island", F.col("pb") - F.row_number().over(w)).groupBy("a", "b", "diag", "island").agg((F.count("*") + SIZE - 1).alias("run"))
     longest = runs.groupBy("a", "b").agg(F.max("run").alias("max_run"))

@@ -170,7 +170,7 @@ def test_decoder_heals_words_outside_the_lexicon():
 def test_a_passage_in_many_records_meets_in_blocks(spark):
     d = spark.createDataFrame([(7, 7, f"r{k}") for k in range(90)] + [(8, 8, "r1"), (8, 8, "r2"), (9, 9, "r3")], "d1 long, d2 long, doc string")
     a, b = d.withColumnRenamed("doc", "a"), d.withColumnRenamed("doc", "b")
-    got = spans._meet(a, b, ["d1", "d2"], block=20)
+    got = spans.meet(a, b, ["d1", "d2"], block=20)
     assert sorted(map(tuple, got.select("d1", "a", "b").collect())) == sorted((x[0], x[2], y[2]) for x in d.collect() for y in d.collect() if x[0] == y[0])
     text = " ".join(f"w{k}" for k in range(22))
     rows = spark.createDataFrame([(f"t{k}", 0, text, []) for k in range(60)], "doc_id string, idx int, text string, excl array<string>")
