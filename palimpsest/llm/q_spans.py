@@ -31,4 +31,10 @@ def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p3_share": p3_share, "p3_spans": p3_spans}
-ORACLES: dict[str, str] = {}
+_GRAM = ", ".join(f"lead(tok, {k}) OVER w" for k in range(1, 20))
+ORACLES: dict[str, str] = {
+    "p3_found": f"""WITH r AS (SELECT DISTINCT doc_id, idx, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS k FROM sentences WHERE doc_id IS NOT NULL AND idx IS NOT NULL AND coalesce(len(excl), 0) = 0),
+ s AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS seg FROM r), t AS (SELECT doc_id, seg, idx, unnest(k) AS tok, generate_subscripts(k, 1) AS n FROM s),
+ g AS (SELECT doc_id, lead(idx, 19) OVER w AS upto, concat_ws(' ', tok, {_GRAM}) AS g FROM t WINDOW w AS (PARTITION BY doc_id, seg ORDER BY idx, n)), d AS (SELECT DISTINCT doc_id, g FROM g WHERE upto IS NOT NULL),
+ c AS (SELECT g FROM d GROUP BY g HAVING count(*) > 1), m AS (SELECT * FROM d JOIN c USING (g)) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM m x JOIN m y ON x.g = y.g AND x.doc_id < y.doc_id"""
+}
