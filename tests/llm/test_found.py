@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import cooccur, fmindex, names, packing, residue, scans, softlink, spans, subjects
+from palimpsest.llm import cooccur, fmindex, names, packing, q_softlink, residue, scans, softlink, spans, subjects
 from palimpsest.llm.q_packing import TOKENIZERS, TOKENIZER as TOKENIZER_FILE
 
 TOKENIZER = f"{TOKENIZERS}/{TOKENIZER_FILE}"
@@ -292,6 +292,73 @@ def test_soft_linkage(spark):
     assert softlink.infer(softlink.ground(softlink.candidates(works.limit(0), recs)), rounds=2).count() == 0
 
 
+def test_near_names_are_those_of_brute_force(spark):
+    """Every name within reach on either side of LONG letters, and no other."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdeé") for _ in range(rng.choice([4, 5, 7, 8, 9, 12, 22, 23, 24, 25, 26, 27, 40]))) for _ in range(130)]
+
+    def edit(w):
+        i, how = rng.randrange(len(w)), rng.randrange(4)
+        return w[:i] + w[i + 1 :] if how == 0 else w[:i] + rng.choice("abxé") + w[i:] if how == 1 else w[:i] + "x" + w[i + 1 :] if how == 2 else w[:i] + w[i : i + 2][::-1] + w[i + 2 :]
+
+    every = sorted({w for b in base for w in (b, edit(b), edit(edit(b)), edit(edit(edit(b))))})
+    rows = [(w, k % 3 != 0, k % 3 != 1) for k, w in enumerate(every)]
+
+    def within(a, b):
+        d = lev(a, b)
+        apart = [i for i in range(min(len(a), len(b))) if a[i] != b[i]]
+        swap = len(a) == len(b) and len(apart) == 2 and apart[1] == apart[0] + 1
+        return d if min(len(a), len(b)) >= 4 and (d == 1 or d == 2 and (swap or min(len(a), len(b)) >= 8)) else None
+
+    want = {(a, b, d) for a, ours, _ in rows if ours for b, _, theirs in rows if theirs and a != b and (d := within(a, b))}
+    got = [tuple(r) for r in names.near_names(spark.createDataFrame(rows, "name string, ours boolean, theirs boolean")).collect()]
+    assert len(want) > 200 and set(got) == want and len(got) == len(want)
+
+
+def test_linkage_of_common_names_is_spread(spark, monkeypatch):
+    """Names whose rows do not fit in a task give the same candidates as those that do."""
+    rng = random.Random(9)
+    words = "clear theory metal bridges heavy loads river sediment plain methods strict tensions".split()
+    title = lambda: " ".join(rng.sample(words, 5))
+    w = [(f"k{k}", rng.choice(["smithson", "smitshon", "jonesby", "stavr.", ""]), 1999, title()) for k in range(60)]
+    a = [(f"A{k}", title(), 1999 + k % 9, rng.choice([["J. Smithson", "K. Jonesby"], ["Stavroula, K."], []])) for k in range(60)]
+    works = softlink.prepare_works(spark.createDataFrame(w, "key string, surname string, year int, title string"), "key", "surname", "year", "title")
+    recs = softlink.prepare_records(spark.createDataFrame(a, "openalex string, title string, year int, authors array<string>"), "openalex", "authors", "year", "title")
+    found = lambda: sorted((r["key"], r["rid"], r["t"], r["s"], r["y"]) for r in softlink.candidates(works, recs).collect())
+    plain = found()
+    monkeypatch.setattr(softlink, "MOST", 3)
+    spread = found()
+    # by brute force
+    bare = lambda t: [x for x in softlink.title_words(t)]
+    near = lambda x, y: x == y or {x, y} == {"smithson", "smitshon"}
+    want = set()
+    for key, name, _, t in w:
+        for rid, u, year, people in a:
+            keys = {k for p in people for k in softlink.author_keys(p)}
+            if name and people:
+                met = any(near(name, k) or name == "stavr." and k == "stavroula" for k in keys) and not softlink._near_pairs(bare(t)).isdisjoint(softlink._near_pairs(bare(u)))
+            else:
+                met = abs(1999 - year) <= 5 and not softlink._triples(bare(t)).isdisjoint(softlink._triples(bare(u)))
+            if met:
+                want.add((key, rid))
+    assert plain == spread and len(plain) > 100 and {x[:2] for x in plain} == want
+
+
+def test_linkage_shuffles_in_proportion_to_its_rows(spark):
+    """No strings of word pairs and triples go through the shuffle: less than 800 bytes for each row of the input."""
+    sf, context = "/root/testdata/sf0.1", spark.sparkContext
+    rows = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("work", "authority"))
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        got = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in (got.apply(i) for i in range(got.size()))}
+
+    before = stages()
+    q_softlink.p2_found(spark, sf).count()
+    assert 0 < sum(n for k, n in stages().items() if k not in before) < 800 * rows
+
+
 def test_names_in_other_scripts(spark):
     """Equal or near family names link in every script; different ones, and names without letters, never do."""
     d = spark.createDataFrame([(x,) for x in ("Иванов, Пётр", "Иваноф, Пётр", "Сидоров, Пётр", "王, 伟", "李, 伟", "?, ?", "--, --", "Smithson, J", "Smithson, John", "Smithson, Mary")], "name string")
