@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.functions.text import match_tokens
 from palimpsest.operators import streams as S
 
 
@@ -74,10 +75,16 @@ def seeded_runs(values: DataFrame, texts: DataFrame, least: int = 5) -> DataFram
 
 
 def verbatim_grams(published: DataFrame, private: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
-    """(key, shared): grams of a published text that stand in private rows; ``private`` is a sentences table."""
-    pub = S.grams(S.token_stream(S.token_rows(published.select(F.col(key).cast("string").alias("doc_id"), F.lit(0).alias("idx"), F.col(text).alias("text"), F.array().cast("array<string>").alias("excl")))), n)
-    own = S.grams(S.token_stream(S.token_rows(private)), n).select("g").distinct()
-    return pub.join(own, "g", "left_semi").groupBy(F.col("doc_id").alias(key)).agg(F.count_distinct("g").alias("shared"))
+    """(key, shared): grams of a published text that stand in private rows; ``private`` is a sentences table.
+
+    Grams go to the join as digests, without a copy of their words; of texts of one key the least counts.
+    """
+    texts = published.where(F.col(key).isNotNull()).select(key, match_tokens(F.col(text)).alias("toks"))
+    if published.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").take(1):
+        texts = texts.groupBy(key).agg(F.min("toks").alias("toks"))
+    pub = texts.select(key, F.explode(S.array_grams(F.col("toks"), n)).alias("g"))
+    shared = pub.join(S.row_grams(private, n), "g", "left_semi").groupBy(key).agg(F.count_distinct("g").alias("shared"))
+    return shared.withColumn(key, F.col(key).cast("string"))
 
 
 def compare_listing(listed: DataFrame, present: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ inside blocks of ``BLOCK`` rows, blocks are summed, and the sums are added back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.functions.text import match_tokens
 
@@ -14,9 +14,14 @@ BLOCK = 512
 GAP = 64  # positions left out where rows do not adjoin, if barriers are asked for
 
 
+def kept(sentences: DataFrame) -> DataFrame:
+    """Rows with an empty ``excl``, ids and order present."""
+    return sentences.where(F.col("doc_id").isNotNull() & F.col("idx").isNotNull() & (F.coalesce(F.size("excl"), F.lit(0)) <= 0)).select("doc_id", "idx", "text")
+
+
 def retained(sentences: DataFrame) -> DataFrame:
-    """Distinct rows with an empty ``excl``, ids and order present."""
-    return sentences.where(F.col("doc_id").isNotNull() & F.col("idx").isNotNull() & (F.coalesce(F.size("excl"), F.lit(0)) <= 0)).select("doc_id", "idx", "text").distinct()
+    """The distinct ones of these rows."""
+    return kept(sentences).distinct()
 
 
 def token_rows(sentences: DataFrame, barriers: bool = False) -> DataFrame:
@@ -59,6 +64,39 @@ def grams(stream: DataFrame, n: int = 8, digest: str = "xxhash64") -> DataFrame:
     return two.where((F.col("last") == F.col("pos") + n - 1) & (cell == F.col("cell"))).select("doc_id", "pos", "g")
 
 
+def array_grams(toks: Column, n: int = 8) -> Column:
+    """Digests of n adjoining tokens of an array, in order."""
+    return F.transform(F.slice(toks, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(toks, i + k) for k in range(1, n)]))
+
+
+def row_grams(sentences: DataFrame, n: int = 8) -> DataFrame:
+    """(g): digests (``array_grams``) of n adjoining tokens of each record, over its retained rows; for large tables.
+
+    Rows go once to the task of their record and BLOCK and meet there the first tokens of the next rows; what goes over the
+    end of a block is made from the first and last tokens of the blocks, for records of more than one.
+    """
+    block = F.floor(F.col("idx") / BLOCK)
+    rows = kept(sentences).select("doc_id", "idx", block.alias("b"), F.array_join(match_tokens(F.col("text")), " ").alias("s"))
+    least, order = Window.partitionBy("doc_id", "b").orderBy("idx", "s"), Window.partitionBy("doc_id", "b").orderBy("idx")
+    ahead = lambda c, w: F.slice(F.flatten(F.collect_list(c).over(w.rowsBetween(1, n - 1))), 1, n - 1)
+    last = lambda c: F.slice(c, -F.least(F.size(c), F.lit(n - 1)), n - 1)
+
+    def joined(x: DataFrame) -> DataFrame:
+        """A row of an index once, the least one; rows without tokens left out, so n - 1 next rows hold n - 1 tokens."""
+        x = x.withColumn("again", F.lag("idx").over(least).eqNullSafe(F.col("idx"))).where("NOT again AND s != ''").withColumn("toks", F.split("s", " ")).drop("again", "s")
+        return x.withColumn("head", F.slice("toks", 1, n - 1)).withColumn("ahead", ahead("head", order))
+
+    out = joined(rows).select(F.concat("toks", "ahead").alias("t")).select(F.explode(array_grams(F.col("t"), n)).alias("g"))
+    long = kept(sentences).groupBy("doc_id").agg(F.min(block).alias("lo"), F.max(block).alias("hi")).where("lo < hi").select("doc_id")
+    if not long.take(1):
+        return out
+    x = joined(rows.join(long, "doc_id", "left_semi")).withColumn("behind", F.flatten(F.collect_list(last(F.col("toks"))).over(order.rowsBetween(2 - n, 0))))
+    x = x.withColumn("first", F.row_number().over(order) == 1).withColumn("end", F.lead("idx").over(order).isNull()).where("first OR end")
+    ends = x.groupBy("doc_id", "b").agg(F.max(F.when(F.col("first"), F.slice(F.concat("toks", "ahead"), 1, n - 1))).alias("head"), F.max(F.when(F.col("end"), last(F.col("behind")))).alias("tail"))
+    over = ends.withColumn("ahead", ahead("head", Window.partitionBy("doc_id").orderBy("b"))).select(F.concat("tail", "ahead").alias("t"))
+    return out.unionByName(over.select(F.explode(array_grams(F.col("t"), n)).alias("g")))
+
+
 def winnow(gram_rows: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, g): the least digest of every full window of grams, the rightmost of equals; distinct.
 

@@ -178,6 +178,29 @@ def test_work_titles_meet_whole_texts(spark, tmp_path):
     assert got == {("w1", "d1", 5), ("w1", "d2", 8)}
 
 
+def test_verbatim_grams_go_over_rows_and_blocks_in_one_shuffle(spark, monkeypatch):
+    """Grams over several rows, empty rows and the ends of blocks, against the token stream; private rows are shuffled once."""
+    import random
+
+    from palimpsest.operators import streams as S
+
+    monkeypatch.setattr(S, "BLOCK", 4)
+    rng = random.Random(3)
+    rows = [(d, 2 * i if d == "b" else i, " ".join(rng.choice("ab") for _ in range(rng.choice((0, 0, 1, 2, 5, 9)))), ["x"] if rng.random() < 0.1 else []) for d in "abc" for i in range(60 if d != "c" else 3)]
+    rows += [("a", 5, "b b b", []), ("a", 6, "", None), (None, 1, "a b a b a b a b", []), ("d", 0, None, [])]
+    private = spark.createDataFrame(rows, "doc_id string, idx int, text string, excl array<string>")
+    published = spark.createDataFrame([(i % 28, " ".join(rng.choice("ab") for _ in range(i * 3))) for i in range(30)] + [(None, "a b a b a b a b"), (99, None)], "k long, t string")
+    pub = S.grams(S.token_stream(S.token_rows(published.select(F.col("k").cast("string").alias("doc_id"), F.lit(0).alias("idx"), F.col("t").alias("text"), F.array().cast("array<string>").alias("excl")))))
+    own = S.grams(S.token_stream(S.token_rows(private))).select("g").distinct()
+    want = {tuple(r) for r in pub.join(own, "g", "left_semi").groupBy("doc_id").agg(F.count_distinct("g")).collect()}
+    got = R.verbatim_grams(published, private, "k", "t")
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 5
+    assert S.row_grams(private).distinct().count() == own.count()
+    monkeypatch.setattr(S, "BLOCK", 512)
+    plan = R.verbatim_grams(published.where("k > 1"), private, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange") <= 6
+
+
 def test_no_entry_is_cut_between_parts(spark):
     """Entries over several rows, parts of three rows: the same references as in one part."""
     rows = []
