@@ -292,6 +292,25 @@ def test_soft_linkage(spark):
     assert softlink.infer(softlink.ground(softlink.candidates(works.limit(0), recs)), rounds=2).count() == 0
 
 
+def test_components_are_solved_in_one_task(spark, monkeypatch):
+    """Stars, chains longer than the labels reach and unlike titles: no round is written out, and the result is that of rounds over all."""
+    import random
+
+    rng = random.Random(4)
+    edges = {(w, w + k) for w in range(0, 60, 2) for k in range(2)} | {(w, w + k) for w in range(100, 130) for k in (0, 1)} | {(200 + i // 9, 200 + i % 7) for i in range(40)}
+    rows = [(w, f"w{w}", f"{w % 5} alpha beta", r, f"r{r}", f"{r % 5} alpha gamma", round(rng.random(), 3), rng.choice((0.0, 0.7, 0.9, 1.0)), rng.choice((0.2, 0.5, 1.0))) for w, r in sorted(edges)]
+    cands = spark.createDataFrame(rows, "wid long, key string, ww string, rno long, rid string, rw string, t double, s double, y double")
+    written, write = [], softlink.cut
+    monkeypatch.setattr(softlink, "cut", lambda df, name="part": written.append(name) or write(df, name))
+    found = lambda: {(r["key"], r["rid"]): r["confidence"] for r in softlink.infer(softlink.ground(cands), tolerance=1e-5).collect()}
+    got = found()
+    assert "admm" not in written and len(got) == len(rows)
+    monkeypatch.setattr(softlink, "PER_TASK", 1)
+    assert (want := found()).keys() == got.keys() and "admm" in written
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-3 and sum(x > 0.5 for x in want.values()) > 10
+    assert all(got[f"w{w}", f"r{r}"] < 1e-3 for w, _, _, r, _, _, t, _, _ in rows if t <= softlink.UNLIKE and all(x[0] != w and x[3] != r for x in rows if x[6] > softlink.UNLIKE))
+
+
 def test_near_names_are_those_of_brute_force(spark):
     """Every name within reach on either side of LONG letters, and no other."""
     rng = random.Random(5)
