@@ -167,6 +167,29 @@ def test_near_verbatim_is_complete(spark, monkeypatch):
     assert got == want and any(not three(s) & three(t) for i, s in long for j, t in long if (i, j) in want)
 
 
+def test_bounds_leave_only_near_texts(monkeypatch):
+    """Misread, shortened and lengthened texts of all sizes: no near pair is missed, and hardly another is left for the exact ratio."""
+    import random
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    plain = lambda words: " ".join(sorted(set(words)))
+    a = [plain(rng.choice(vocab) for _ in range(rng.choice((8, 12, 16, 16, 16, 40, 90, 300)))) for _ in range(120)]
+    b = [plain(rng.choice(vocab) for _ in range(rng.choice((8, 14, 16, 16, 60)))) for _ in range(120)]
+    for t in a:
+        w = t.split()
+        b += [plain(x[:-1] + "z" if len(x) > 5 and rng.random() < 0.7 else x for x in w), plain(w[: rng.randrange(1, len(w) + 1)]), plain(w + rng.choice(a).split()), plain(rng.sample(w, len(w) * 3 // 4) + rng.choice(b).split()[:2])]
+    b = sorted(set(b))
+    assert max(map(len, a)) > C.LONG and min(map(len, b)) < 10
+    want = {(i, j) for i, s in enumerate(a) for j, t in enumerate(b) if C.token_set_ratio(s, t) >= 85}
+    got = list(C.possible(a, b, 85))
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 300
+    short = {(i, j) for i, j in got if len(a[i]) < C.LONG and len(b[j]) < C.LONG}
+    assert short <= want
+    monkeypatch.setattr(C, "COLUMNS", 20), monkeypatch.setattr(C, "RARE", 5)
+    assert want <= set(C.possible(a, b, 85)) and list(C.possible([], b, 85)) == list(C.possible(a, [], 85)) == []
+
+
 def test_work_titles_meet_whole_texts(spark, tmp_path):
     from palimpsest.operators import release_queries as Q
 
